@@ -36,11 +36,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each pass that takes a document, its text cut where the source's target ends."""
-    keyed = docs.withColumn("row", F.xxhash64(*docs.columns))
-    mixed = mixing.mix(keyed, keep=["row"]).documents
-    sizes = mixed.groupBy("row").agg(F.first("size").alias("size"), sum((F.sum(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0)).alias("taken")).where("taken > 0")
-    one = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("copy = 1")
-    rows = one.join(sizes, "row").withColumn("turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    keyed = docs.withColumn("same", F.xxhash64(*docs.columns))
+    mixed = mixing.mix(keyed, keep=["same"]).documents
+    sizes = mixed.groupBy("same").agg(F.first("size").alias("size"), sum((F.sum(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0)).alias("taken")).where("taken > 0")
+    one = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("same").orderBy("same"))).where("copy = 1")
+    rows = one.join(sizes, "same").withColumn("turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     words = F.least(F.col("taken") - F.col("turn") * F.col("size"), F.col("size")).cast("int")
     cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(words, F.lit(1))), " ")
     rows = rows.withColumn("part", F.when(words < F.col("size"), cut).otherwise(F.col("text")))

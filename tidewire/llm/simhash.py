@@ -314,7 +314,7 @@ def simhash_components(
 
 
 #: Wide fingerprints for near copies of similarity 0.8: 256 bits; two documents of similarity 0.8 differ in about 39.
-WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 42, 64, 20
+WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 46, 64, 20
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
