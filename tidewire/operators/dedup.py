@@ -54,7 +54,8 @@ def against_history(today: DataFrame, history: DataFrame, keywords: str = "keywo
     by_fp = t.join(first_fp, F.col("fingerprint") == F.col("h_fp")).select("ord", "h_ord", F.lit(2).alias("level"))
     by_words = overlapping(t.select("ord", "words"), h.select("h_ord", "h_words"), threshold).groupBy("ord").agg(F.min("h_ord").alias("h_ord")).select("ord", "h_ord", F.lit(3).alias("level"))
     best = by_url.unionByName(by_fp).unionByName(by_words).groupBy("ord").agg(F.min(F.struct("h_ord", "level")).alias("hit"))
-    names = F.element_at(F.array(F.lit("url"), F.lit("fingerprint"), F.lit("similarity")), F.col("hit.level"))
+    level = F.col("hit.level")
+    names = F.when(level == 1, "url").when(level == 2, "fingerprint").when(level == 3, "similarity")
     return today.join(best, "ord", "left").withColumn("removed_by", names).withColumn("repeats", F.col("hit.h_ord")).drop("hit")
 
 

@@ -44,7 +44,7 @@ def fold(outcomes: DataFrame) -> DataFrame:
             state = step(state, at, bool(ok))
         return pd.DataFrame([(pdf["instance"].iloc[0], *state)], columns=["instance", "state", "failures", "opened_at", "cooldown"])
 
-    rows = outcomes.select("instance", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("outcome") == "ok").alias("ok"), "ord")
+    rows = outcomes.select("instance", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("outcome") == "ok").alias("ok"), "ord")
     return rows.groupBy("instance").applyInPandas(run, OUT)
 
 
@@ -59,7 +59,7 @@ def stream(outcomes: DataFrame) -> DataFrame:
         held.update(tuple(state))
         yield pd.DataFrame([(key[0], *state)], columns=["instance", "state", "failures", "opened_at", "cooldown"])
 
-    rows = outcomes.select("instance", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("outcome") == "ok").alias("ok"))
+    rows = outcomes.select("instance", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("outcome") == "ok").alias("ok"))
     return rows.groupBy("instance").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
