@@ -4,7 +4,7 @@ First pass: each window is counted under its anchor, the run of ANCHOR words wit
 have equal anchors at equal places). The count of an anchor's cell is a count-min estimate: it is never below the count of any
 of its windows. The partial sketches of the tasks are sparse rows (cell, count) that Spark merges, so
 the sketch grows with the corpus without a broadcast. Second pass: only windows whose anchor's cell counts two or more
-are grouped exactly, by a digest of their 35 words. Both passes send back what turned out single: it is found without
+are grouped exactly, by a digest of their words. Both passes send back what turned out single: it is found without
 joining the counts to their members, so a passage in a third of all documents is no hot key.
 """
 
@@ -15,29 +15,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, slices, staged, utf8
+from .common import slices, staged, utf8
 
 #: Words in a window; words in an anchor; cells of the sketch.
 WINDOW, ANCHOR, CELLS = 35, 8, 1 << 44
-_B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_U = 2**64
+#: Bytes of text hashed at once, and documents named by one row for a run of equal texts.
+CHUNK, NAMED = 1 << 20, 1000
+_B1, _B2, _B3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 .. base ** (n - 1) modulo 2**64; kept and widened as needed, up to a few MB for each base."""
+    held = _tables.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= 4 * CHUNK:
+            _tables[base] = held
+    return held[:n]
 
 
-def _rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
+def _inverse(base: int) -> int:
+    return pow(base, -1, 2**64)
+
+
+_I1, _I2, _I3 = _inverse(_B1), _inverse(_B2), _inverse(_B3)
+
+
+def _rolling(h: np.ndarray, n: int, base: int, inverse: int) -> np.ndarray:
     """A polynomial of each run of n hashes, modulo 2**64; equal runs give equal values wherever they stand."""
-    powers, inverse = _powers(base, len(h)), _powers(pow(base, -1, _U), len(h) - n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * powers)])
-    return (sums[n:] - sums[:-n]) * inverse
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * _powers(base, len(h)))])
+    return (sums[n:] - sums[:-n]) * _powers(inverse, len(h) - n + 1)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -46,6 +61,17 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words: a polynomial of a word's bytes, taken from running sums over all texts at once."""
+    joined = np.frombuffer(b" ".join(texts), np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[joined], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((joined.astype(np.uint64) + np.uint64(1)) * _powers(_B3, len(joined)))])
+    h = _stir((sums[ends] - sums[starts]) * _powers(_I3, len(joined))[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    after = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(h, np.searchsorted(starts, after[:-1]))
+
+
 def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     """For each window of width values, where its least value stands first. Values are compared by their upper 40 bits."""
     at = (x >> np.uint64(24) << np.uint64(24)) | np.arange(len(x), dtype=np.uint64)
@@ -57,41 +83,41 @@ def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return (at & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-#: Word hashes of this Python worker; kept for its later tasks.
-_low = Cache(lambda w: xxhash.xxh3_64_intdigest(w, 1), 800_000)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_low.__getitem__, words), np.uint64, len(words))
-
-
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, first window, windows) for each stretch of windows that share an anchor place. h: word hashes of one text."""
-    grams = _stir(_rolling(h, ANCHOR, _B1))
-    at = np.concatenate([_leftmost_least(grams[s : s + (1 << 23) + window - ANCHOR], window - ANCHOR + 1) + s for s in range(0, max(1, len(h) - window + 1), 1 << 23)])
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return (grams[at[first]] % np.uint64(CELLS)).view(np.int64), first, np.diff(np.r_[first, len(at)])
+    grams = _stir(_rolling(h, ANCHOR, _B1, _I1))
+    at = [_leftmost_least(grams[s : s + (1 << 23) + window - ANCHOR], window - ANCHOR + 1) + s for s in range(0, max(1, len(h) - window + 1), 1 << 23)]
+    at = at[0] if len(at) == 1 else np.concatenate(at)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return (grams[at[first]] % np.uint64(CELLS)).view(np.int64), first, np.diff(np.concatenate([first, [len(at)]]))
+
+
+def _places(spans: list[int]) -> np.ndarray:
+    """(first, windows) pairs, flat -> every window's place."""
+    first, count = np.array(spans, np.int64).reshape(-1, 2).T
+    return np.repeat(first - (count.cumsum() - count), count) + np.arange(count.sum())
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each text without the words in windows that also start elsewhere.
 
-    kept_text is null where nothing was removed; with_text=False leaves it out.
-
     Windows are judged on the input, so every copy of a repeated passage goes. A null text, or one of fewer words than the
     window, loses nothing. Equal rows repeat each other. Texts are split at spaces and U+0009 to U+000D; kept
-    words are joined by one space. Other columns are left out. An empty table gives an empty table.
+    words are joined by one space. kept_text is null where nothing was removed; with_text=False leaves it out. Other columns
+    are left out. An empty table gives an empty table. Equal texts that meet in a task are worked on once.
     """
     if window < ANCHOR + 1:
         raise ValueError(f"a window needs over {ANCHOR} words")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), utf8(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("body"))
+    rows = rows.select("doc_id", F.xxhash64("body").alias("row"), "body")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "body"):
-            got = [(row, *anchors(word_hashes(words), window)) for row, words in zip(b.column(0).to_pylist(), map(bytes.split, b.column(1).to_pylist())) if len(words) >= window]
+        for b in slices(batches, "body", CHUNK):
+            hashed = zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()))
+            got = [(row, *anchors(h, window)) for row, h in hashed if len(h) >= window]
             if got:
-                row_of = np.concatenate([np.full(len(cell), row, np.int64) for row, cell, _, _ in got])
+                row_of = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
                 cells, firsts = (np.concatenate([g[i] for g in got]) for i in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(row_of), pa.array(firsts.astype(np.int32))], names=["cell", "row", "first"])
 
@@ -100,39 +126,47 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     single = merged.where("estimate = 1").groupBy("row").agg(F.collect_list("first").alias("single"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "body"):
-            n, hashes, bodies, spans = [], [], [], []
-            for text, ones in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                words = text.split()
-                n.append(len(words))
+        for b in slices(batches, "body", CHUNK):
+            docs_of, row_of, texts, ones_of = [], [], [], []
+            for doc, row, text, ones in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if row_of and row_of[-1] == row and texts[-1] == text and len(docs_of[-1]) < NAMED:
+                    docs_of[-1].append(doc)
+                    continue
+                docs_of.append([doc])
+                row_of.append(row)
+                texts.append(text)
+                ones_of.append(ones)
+            n, shas, bodies, spans = [], [], [], []
+            for text, h, ones in zip(texts, word_hashes(texts), ones_of):
                 left = []
-                if len(words) >= window:
-                    _, first, count = anchors(word_hashes(words), window)
+                if len(h) >= window:
+                    _, first, count = anchors(h, window)
                     again = ~np.isin(first, np.array(ones or [], np.int64))
                     left = np.stack([first[again], count[again]], axis=1).ravel().tolist()
+                n.append(len(h))
                 spans.append(left)
                 bodies.append(text if left else None)
-                hashes.append(None if left else hashlib.sha256(b" ".join(words)).hexdigest())
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(bodies, pa.binary()), pa.array(spans, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_words", "sha", "body", "spans"])
+                shas.append(None if left else hashlib.sha256(b" ".join(text.split())).hexdigest())
+            cols = [pa.array(docs_of, _docs_type(b)), pa.array(row_of, pa.int64()), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(bodies, pa.binary()), pa.array(spans, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["docs", "row", "n_words", "sha", "body", "spans"])
 
-    judged = rows.join(single, "row", "left").select("doc_id", "row", "body", "single")
-    judged = staged(judged.mapInArrow(candidates, f"doc_id {kind}, row long, n_words long, sha string, body binary, spans array<int>"), "windows")
-    open_rows = judged.where("body is not null").select("doc_id", "row", "body", "spans")
+    judged = rows.join(single, "row", "left").select("doc_id", "row", "body", "single").sortWithinPartitions("row")
+    judged = staged(judged.mapInArrow(candidates, f"docs array<{kind}>, row long, n_words long, sha string, body binary, spans array<int>"), "windows")
+    open_rows = judged.where("body is not null").select("docs", "row", "body", "spans")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "body", 1 << 20):
+        for b in slices(batches, "body", CHUNK // 2):
             parts = []
-            for row, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-                h = word_hashes(text.split())
+            for row, copies, h, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(2).to_pylist()), b.column(3).to_pylist()):
                 at = _places(spans)
-                one, two = _rolling(h, window, _B1)[at], _rolling(_stir(h), window, _B2)[at]
-                parts.append((one.view(np.int64), two.view(np.int64), np.full(len(at), row, np.int64), at.astype(np.int32)))
+                one, two = _rolling(h, window, _B1, _I1)[at], _rolling(_stir(h), window, _B2, _I2)[at] >> np.uint64(32)
+                parts.append((one.view(np.int64), two.astype(np.uint32).view(np.int32), np.full(len(at), row, np.int64), (at if copies == 1 else ~at).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["one", "two", "row", "place"])
 
-    windows = open_rows.select("row", "body", "spans").mapInArrow(digests, "one long, two long, row long, place int")
+    # a negative place stands for a text with copies: its windows count twice
+    windows = open_rows.select("row", F.size("docs").alias("copies"), "body", "spans").mapInArrow(digests, "one long, two int, row long, place int")
     exact = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("place").alias("place"))
-    alone = exact.where("n = 1").groupBy("row").agg(F.collect_list("place").alias("alone"))
+    alone = exact.where("n = 1 and place >= 0").groupBy("row").agg(F.collect_list("place").alias("alone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
@@ -144,30 +178,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 hit[at] += 1
                 hit[at + window] -= 1
                 gone = hit.cumsum()[:-1] > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()])
                 n.append(len(words))
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept)
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            names = ["docs", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 cols, names = [*cols, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "kept_text"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     text_kind = ", kept_text string" if with_text else ""
-    ended = open_rows.join(alone, "row", "left").select("doc_id", "body", "spans", "alone")
-    ended = ended.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string{text_kind}")
-    clean = judged.where("body is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    ended = open_rows.join(alone, "row", "left").select("docs", "body", "spans", "alone")
+    ended = ended.mapInArrow(cut, f"docs array<{kind}>, n_words long, n_removed long, kept_sha256 string{text_kind}")
+    clean = judged.where("body is null").select("docs", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     if with_text:
         clean = clean.withColumn("kept_text", F.lit(None).cast("string"))
-    return ended.unionByName(clean)
+    out = ended.unionByName(clean)
+    return out.select(F.explode("docs").alias("doc_id"), *[c for c in out.columns if c != "docs"])
 
 
-def _places(spans: list[int]) -> np.ndarray:
-    """(first, windows) pairs, flat -> every window's place."""
-    first, count = np.array(spans, np.int64).reshape(-1, 2).T
-    return np.repeat(first - (count.cumsum() - count), count) + np.arange(count.sum())
+def _docs_type(b: pa.RecordBatch) -> pa.DataType:
+    return pa.list_(b.column(0).type)
 
 
 def op7_substring(docs: DataFrame) -> DataFrame:
