@@ -30,7 +30,7 @@ ENCODINGS = [
     ("base64", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", ["[0-9]", "[A-Z]", "[a-z]", "[+/]"]),
     ("base64url", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", ["[0-9]", "[A-Z]", "[a-z]", "[_-]"]),
 ]
-#: Upper ends of the length bands; bins of the p-values; share of ordinary tokens allowed.
+#: Upper ends of the length bands; bins of the p-values; share of ordinary tokens allowed. No p in the lowest bin is accepted.
 BANDS, BINS, RATE = (24, 32, 48, 96), 100, 0.05
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ufffd"
 
@@ -131,7 +131,7 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> dict[tuple[str, int
     out = {}
     for stratum, n in counts.items():
         drawn = 2 * sum(n[BINS // 2 :])
-        for b in range(BINS):
+        for b in range(1, BINS):
             accepted = sum(n[b:])
             if accepted and max(0.0, accepted - (1 - b / BINS) * drawn) <= rate * accepted:
                 out[stratum] = b / BINS
