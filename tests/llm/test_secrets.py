@@ -41,7 +41,7 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     rng = random.Random(9)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     drawn = [f"see {''.join(rng.choice(alphabet) for _ in range(40))} here" for _ in range(60)]
-    plain = ["the Internationalization2024Committee2024Meeting2024Notes was long", "AAAAAAAA1111111111bbbbbbbbbbbbbbbbbbb11111111", "some-long-slug-of-an-article-2024-with-words", "Donaudampfschifffahrtsgesellschaft " * 3] * 20
+    plain = ["the Internationalization2024Committee2024Meeting2024Notes was long", "AAAAAAAA1111111111zzzzzzzzzzzzzzzzzzz11111111", "some-long-slug-of-an-article-2024-with-words", "Donaudampfschifffahrtsgesellschaft " * 3] * 20
     got = {r.doc_id: r.spans for r in S.op1_secrets(frame(spark, drawn + plain)).collect()}
     assert sum("random:4:44" in got[i] for i in range(60)) >= 50
     assert not any(got[i] for i in range(60, 140))
