@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Cache, slices
 
 MAGIC = b"WVM1"
 #: Tokens after which a shard is closed at the end of a document.
@@ -139,15 +140,22 @@ class Shard:
         return at
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Whole texts to ids, by encoding each distinct white-space-separated word of a batch once.
+    """Whole texts to ids by the tokenizers library, each distinct white-space-separated word once.
 
-    The tokenizer drops white space, and no piece of it spans white space, so a text's ids are its words' ids in a row. In a
-    word of letters and marks at its end both parts are pieces of their own, so such words share their ids; letters
-    that weren't met before are encoded together, and the ids that end a word part them again.
+    The tokenizer drops white space, and no piece of it spans white space, so a text's ids are its words' ids in a row.
+    Words that were met before are looked up by Arrow. In a new word of Latin letters and marks at its end both parts are
+    pieces of their own: the library's model splits the letters, and words that differ in marks share them.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,72 +163,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = None
-        if suffix:
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self.model, self.normal, self.letters = self.tokenizer.model, self.tokenizer.normalizer, _byte_letters()
+        self.parts = Cache(self._part, 300_000)
         self.most = most
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of parts that aren't known yet."""
-        if len(self.known) + len(parts) > self.most:
-            self.known.clear()
-        plain = [p for p in parts if self.ends is not None and p.isalpha()]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = self._encode(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                data, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.known.update(zip(some, (data[a:b] for a, b in zip(edges, edges[1:]))))
-        for p in parts:
-            if p not in self.known:
-                self.known[p] = self._encode(p).tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        cores, marks = [], []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                cores.append(core.lower() if core.isascii() else core)
-                marks.append(w[len(core) :])
-            else:
-                cores.append(w)
-                marks.append("")
-        known = self.known
-        missing = [p for p in dict.fromkeys([*cores, *marks]) if p and p not in known]
-        if missing:
-            self._learn(missing)
-        if "" not in known:
-            known[""] = b""
-        missing = [p for p in cores if p not in known]  # where the memo was emptied just now
-        if missing:
-            self._learn(list(dict.fromkeys(missing)))
-            known[""] = b""
-        for m in set(marks):
-            if m not in known:
-                known[m] = self._encode(m).tobytes()
-        return [known[c] + known[m] if m else known[c] for c, m in zip(cores, marks)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.first, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha() and max(part) < "\u0250":
+            if not part.isascii():
+                part = "".join(map(self.letters.__getitem__, self.normal.normalize_str(part).encode()))
+            return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        return self.parts[core] + self.parts[word[len(core) :]] if len(core) < len(word) and core.isalpha() and max(core) < "\u0250" else self.parts[word]
+
+    def _learn(self, words: list[str]) -> None:
+        got = list(map(self._word, words))
+        size = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        self.first = np.concatenate([self.first, len(self.flat) + size.cumsum() - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, np.frombuffer(b"".join(got), np.uint32)])
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each text)."""
-        lists = pc.ascii_split_whitespace(texts)
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
-        words = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) >> 2
-        flat, first = np.frombuffer(b"".join(words), np.uint32), sizes.cumsum() - sizes
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[code]
+        distinct = coded.dictionary
+        if len(self.words) + len(distinct) > self.most:
+            self._forget()
+        known = pc.index_in(distinct, value_set=self.words)
+        if known.null_count:
+            self._learn(distinct.filter(known.is_null()).to_pylist())
+            known = pc.index_in(distinct, value_set=self.words)
+        code = known.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+        each = self.size[code]
         ends = each.cumsum()
-        ids = flat[np.repeat(first[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat.take(np.repeat(self.first[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0))
         edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return ids, np.diff(edges)
 
@@ -258,7 +242,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = END, sha
             row = {"part": part, "seq": seq, "before": before, "n_tokens": held, "payload": data}
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
-        for b in slices(batches, "body", 8 << 20):
+        for b in slices(batches, "body", 16 << 20):
             got, sizes = enc.encode(b.column(1))
             for doc, own in zip(b.column(0).to_pylist(), np.split(got, sizes.cumsum()[:-1])):
                 ids += [own, stop]
