@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import bridge, insert_if_absent
 from ..sources.files import append, read_table
+from ..staging import staged, unstage
 
 Normalizer = Callable[[DataFrame], DataFrame]
 
@@ -25,10 +26,11 @@ def ingest(stream: DataFrame, events_path: str, entities_path: str, checkpoint:
         spark = df.sparkSession
         new = prepare(df).withColumn("day", F.coalesce(F.col("effective_at").cast("date"), F.lit("1970-01-01").cast("date")))
         keys = read_table(spark, events_path, new.schema).select("id", "content_hash")
-        fresh = insert_if_absent(keys, new).persist()
+        # written first: a cached result would be dropped when the table that it read is appended to
+        fresh = staged(insert_if_absent(keys, new), "fresh")
         append(fresh, events_path, "day")
         append(bridge(fresh, "entities", "entity").withColumn("batch", F.lit(number)), entities_path)
-        fresh.unpersist()
+        unstage(fresh)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
