@@ -29,9 +29,9 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 #: Width of the hashed features.
-WIDTH = 1 << 13
+WIDTH = 1 << 12
 #: Rows of each language that train the machines, at most; they are the ones with the least hash of doc_id.
-SAMPLE = 400
+SAMPLE = 250
 #: A text whose best score is lower is rejected by the pipeline.
 LEAST_SCORE = 0.3
 
@@ -53,7 +53,7 @@ def features(text: str) -> np.ndarray | None:
     for at in range(0, len(code) - 2, 1 << 20):
         c = code[at : at + (1 << 20) + 2]
         h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
-        counts += np.bincount((h >> np.uint32(19)).astype(np.int64), minlength=WIDTH)
+        counts += np.bincount((h >> np.uint32(20)).astype(np.int64), minlength=WIDTH)
     counts = np.sqrt(counts)
     return counts / np.sqrt(counts @ counts)
 
@@ -69,18 +69,19 @@ def _letters(code: np.ndarray) -> np.ndarray:
 
 def _train(x: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 10.0) -> np.ndarray:
     """A linear SVM with bias (last weight) by dual coordinate descent; y is +1 or -1, classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     n = len(x)
     box = np.where(y > 0, c * n / (2 * max(1, (y > 0).sum())), c * n / (2 * max(1, (y < 0).sum())))
-    alpha, w, norm = np.zeros(n), np.zeros(x.shape[1]), (x * x).sum(axis=1)
+    alpha, w, bias, norm = np.zeros(n), np.zeros(x.shape[1]), 0.0, np.einsum("ij,ij->i", x, x) + 1
     rng = np.random.default_rng(1)
     for _ in range(rounds):
         for i in rng.permutation(n):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0), box[i])
+            new = min(max(alpha[i] - (y[i] * (w @ x[i] + bias) - 1) / norm[i], 0), box[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * x[i]
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, bias)
 
 
 class Model:
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             kept.setdefault(r["lang"], []).append((r["at"], r["x"]))
         texts = [(lang, x) for lang in sorted(kept) for _, x in sorted(kept[lang])[:sample]]
     x = np.array([np.frombuffer(b, np.float32) for _, b in texts]).reshape(len(texts), WIDTH)
-    return Model(x.astype(np.float64), [lang for lang, _ in texts])
+    return Model(x, [lang for lang, _ in texts])
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
