@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, html, langid, mixing, repetition, secrets, simhash, substring, syncmers, wavelet
-from .common import checkpoint_root, documents, pages
+from .common import shared_root, documents, pages
 
 
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
-    path = f"{checkpoint_root(spark)}/wavelet-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/wavelet-{uuid.uuid4().hex}"
     wavelet.write_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path)
     return wavelet.read_shards(spark, path)
 

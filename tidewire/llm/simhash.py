@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import connected_components
 from .common import slices, staged, utf8
-from .components import connected_components
 
 #: Fingerprints in a tile of a large group.
 TILE = 2048
