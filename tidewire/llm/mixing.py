@@ -16,7 +16,7 @@ from .common import WORD, staged
 
 #: Words in a block, weights of the sources in turn, share of all sizes that is mixed, most passes over a source.
 BLOCK, WEIGHTS, SHARE, PASSES = 256, (3, 1, 2), 1.5, 2
-#: Slots in a chunk and, on average, documents in a bucket: what one window holds at most of a source.
+#: Slots in a chunk, and documents in a bucket on average at most: what one window holds of a source.
 CHUNK, BUCKET = 8192, 4096
 #: Bins of [0, 1) by which a slot's point meets the sources' intervals.
 BINS = 4096
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11, keep: list[str] | N
     n_slots = sources.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / block)), F.lit(0)).alias("n")).first()["n"]
     plan = staged(schedule(sources, n_slots, block), "schedule")
 
-    buckets = max(1, -(-n_docs // BUCKET))
+    buckets = max(-(-n_docs // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = F.xxhash64(F.lit(seed), "doc_id")
     known = sized.join(sources.select(F.col("source").alias("s"), "source_no", "source_size", "target", "goal"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     known = known.withColumn("at", at).withColumn("bucket", F.pmod("at", F.lit(buckets)))
