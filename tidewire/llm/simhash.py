@@ -3,8 +3,8 @@
 Documents become fingerprints, equal fingerprints become one node, and nodes that agree on a block key meet in
 one group. A group of any size is cut into tiles of a fixed number of fingerprints; two tiles meet in one task. In a
 task the fingerprints lie as bit planes (one machine word holds one bit of 64 fingerprints), differences are
-added by carry-save counters, and words whose 64 lanes all exceed the radius are abandoned. A task gives
-a spanning forest of the links it saw, never all pairs.
+added by carry-save counters, and words whose 64 lanes all exceed the radius are abandoned. From a large group a task gives
+links that grow with its rows, never all pairs.
 """
 
 from __future__ import annotations
@@ -134,31 +134,37 @@ def _pair_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Which of the links a[i]-b[i] join two trees."""
-    root = list(range(n))
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place of each place's component under the links a[i]-b[i]."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        low, new = np.minimum(x, y), label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(i)
-    return kept
+def _nearest(query: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are among the most nearest ones of their query."""
+    order = np.lexsort((distance, query))
+    q = query[order]
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], q[1:] != q[:-1]]), np.arange(len(q)), 0))
+    return order[np.arange(len(q)) - head < most]
 
 
 #: Runs of up to so many fingerprints are compared pair by pair, side by side with other runs.
 SMALL_RUN = 48
 
 
-def _links_in_runs(fps: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run [start, end) of rows. side: 0 and 1 are two tiles of a large group (only pairs across), 2 all pairs."""
+def _links_in_runs(fps: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each run [start, end) of rows. side: 0 and 1 are two tiles of a large group (only pairs across), 2 all pairs.
+
+    A small run gives all its links. A large one gives a star for each component, or with nearest the nearest links of each row.
+    """
     out_a, out_b = [], []
     size = ends - starts
     for n in np.unique(size[(size > 1) & (size <= SMALL_RUN)]).tolist():
@@ -173,14 +179,23 @@ def _links_in_runs(fps: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: n
     for s, e in zip(starts[size > SMALL_RUN].tolist(), ends[size > SMALL_RUN].tolist()):
         rows = np.arange(s, e)
         left, right = rows[side[s:e] != 1], rows[side[s:e] != 0]
-        got = [within(fps[left[k : k + 512]], fps[right], radius) for k in range(0, len(left), 512)]
-        x = np.concatenate([left[k * 512 + q] for k, (q, _) in enumerate(got)]) if got else rows[:0]
-        y = np.concatenate([right[b] for _, b in got]) if got else rows[:0]
-        off = x != y
-        x, y = x[off], y[off]
-        kept = _forest(e - s, x - s, y - s)
-        out_a.append(ids[x[kept]])
-        out_b.append(ids[y[kept]])
+        xs, ys = [rows[:0]], [rows[:0]]
+        for k in range(0, len(left), 256):
+            q, b = within(fps[left[k : k + 256]], fps[right], radius)
+            x, y = left[k + q], right[b]
+            off = x != y
+            x, y = x[off], y[off]
+            if nearest and len(x):
+                top = _nearest(x, _pair_distance(fps[x], fps[y]), nearest)
+                x, y = x[top], y[top]
+            xs.append(x)
+            ys.append(y)
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        if not nearest:
+            label = _labels(e - s, x - s, y - s)
+            x, y = rows[label != np.arange(e - s)], s + label[label != np.arange(e - s)]
+        out_a.append(ids[x])
+        out_b.append(ids[y])
     empty = ids[:0]
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
@@ -214,10 +229,11 @@ def _keys(fps: np.ndarray, masks: list[list[tuple[int, int]]]) -> np.ndarray:
     return out
 
 
-def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]]) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]], nearest: int = 0) -> DataFrame:
     """(a, b): links between nodes (node long, fp array<long>) that agree on a key and differ in at most radius bits.
 
-    Within one key group it is a spanning forest of the links there. Keys held by over TILE nodes are cut into tiles.
+    A large key group gives stars that join what is linked in it, so components stay whole; with nearest it gives that many nearest
+    links of each node instead, each a true one. Keys held by over TILE nodes are cut into tiles.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +258,10 @@ def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]]
     )
     met = plain.unionByName(dealt).join(nodes.select("node", "fp"), "node").select("key", "node", "i", "j", "side", "fp")
     together = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return together.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
+    return together.mapInArrow(lambda it: _compare(it, radius, nearest), "a long, b long").distinct()
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, nearest: int) -> Iterator[pa.RecordBatch]:
     """Links in the runs of equal (key, i, j) of sorted rows; the last run of a batch waits for the next one."""
     held: pa.Table | None = None
 
@@ -259,7 +275,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
             return None, rest
         ends = np.r_[starts[1:], stop]
         fps = np.ascontiguousarray(table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(table.num_rows, -1).view(np.uint64)
-        a, b = _links_in_runs(fps, table.column("node").to_numpy(), table.column("side").to_numpy(), starts, ends, radius)
+        a, b = _links_in_runs(fps, table.column("node").to_numpy(), table.column("side").to_numpy(), starts, ends, radius, nearest)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"]), rest
 
     for batch in batches:
@@ -287,43 +303,58 @@ def exact_masks(n_nodes: int, radius: int) -> list[list[tuple[int, int]]]:
     return block_masks(64, radius + clean, clean)
 
 
-def simhash_components(
-    docs: DataFrame, shingle: int = 4, words: int = 1, radius: int = 4, masks: list[list[tuple[int, int]]] | None = None, id_col: str = "doc_id", text_col: str = "text", apart_if_empty: bool = False
-) -> DataFrame:
-    """(doc_id, fp array<long>, component_id): documents linked by fingerprints at most radius bits apart.
+def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp array<long>, component_id): documents linked by 64-bit fingerprints at most radius bits apart.
 
-    component_id is the least doc_id reachable, the document's own where it has no link. masks None: every link of
-    64-bit fingerprints is found. Otherwise the keys given decide which pairs meet. Null and empty texts have the fingerprint
-    zero and are linked like any other (apart_if_empty: each stays alone). Equal rows are linked. doc_id is an
+    component_id is the least doc_id reachable, the document's own where it has no link. Every link is found. Null and
+    empty texts have the fingerprint zero and are linked like any other. Equal rows are linked. doc_id is an
     integer; rows without one are left out. Other columns are ignored. An empty table gives an empty table.
     """
-    fps = staged(fingerprints(docs.where(F.col(id_col).isNotNull()), shingle, words, id_col, text_col), "fps")
-    own = fps.where("n_words > 0") if apart_if_empty else fps
-    nodes = staged(own.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
-    if masks is None:
-        if words != 1:
-            raise ValueError("wider fingerprints need masks")
-        masks = exact_masks(nodes.count(), radius)
-    links = near_links(nodes, radius, masks)
-    parts = connected_components(links)
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = own.join(named, "fp").select("doc_id", "fp", F.col("component_id").cast(fps.schema["doc_id"].dataType).alias("component_id"))
-    if apart_if_empty:
-        out = out.unionByName(fps.where("n_words = 0").select("doc_id", "fp", F.col("doc_id").alias("component_id")))
-    return out
+    fps = staged(fingerprints(docs.where(F.col(id_col).isNotNull()), shingle, 1, id_col, text_col), "fps")
+    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
+    links = near_links(nodes, radius, exact_masks(nodes.count(), radius))
+    return _named(fps, nodes, connected_components(links))
 
 
-#: Wide fingerprints for near copies of similarity 0.8: 256 bits; two documents of similarity 0.8 differ in about 39.
-WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 46, 64, 20
+#: Near copies of five-word shingles: 256-bit fingerprints, of which two documents of similarity 0.8 differ in about
+#: 39 bits, standard deviation 6; keys of sampled bits; the least similarity of a link; nearest links kept in a large group.
+WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS, LEAST_SIMILAR, NEAREST = 4, 51, 64, 20, 0.8, 3
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """simhash_components for near copies: five-word shingles, 256 bits, keys of sampled bits."""
+def near_copies(docs: DataFrame, shingle: int = 5, similar: float = LEAST_SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents linked by shingle sets whose Jaccard similarity is at least similar.
+
+    Wide fingerprints find the pairs and the sets of the two texts decide, so no link is below similar. Pairs of 0.8 share a key
+    with probability 0.92, of 0.85 with 0.99. doc_id is an integer that names one text. Texts without words stay alone.
+    """
+    fps = staged(fingerprints(docs.where(F.col(id_col).isNotNull()), shingle, WIDE_WORDS, id_col, text_col), "fps")
+    nodes = staged(fps.where("n_words > 0").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
     masks = sample_masks(64 * WIDE_WORDS, WIDE_TABLES, WIDE_KEY_BITS)
-    return simhash_components(docs, 5, WIDE_WORDS, WIDE_RADIUS, masks, id_col, text_col, apart_if_empty=True)
+    links = staged(near_links(nodes, WIDE_RADIUS, masks, NEAREST), "links")
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "body"):
+            own = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], names=["id", "own"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body")).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = staged(named.mapInArrow(sets, "id long, own array<int>"), "sets")
+    pairs = links.join(known.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    sure = pairs.where(both >= similar * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return _named(fps.where("n_words > 0"), nodes, connected_components(sure)).select("doc_id", "component_id").unionByName(
+        fps.where("n_words = 0").select("doc_id", F.col("doc_id").alias("component_id"))
+    )
+
+
+def _named(fps: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of fps with their node's component."""
+    of = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(of, "fp").select("doc_id", "fp", F.col("component_id").cast(fps.schema["doc_id"].dataType).alias("component_id"))
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
     """The rows of query op3: doc_id, fingerprint as 16 hexadecimal digits, component_id."""
-    out = simhash_components(docs, 4, 1, 4)
+    out = simhash_components(docs, 4, 4)
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
