@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, langid, mixing, secrets, simhash
-from tidewire.llm.common import documents, staged, unstage
+from tidewire.llm.common import SPACE, documents, staged, unstage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no text, no letter, or a prediction that is hardly sure."""
     model = langid.fit(docs)
-    named = langid.predict(docs, model)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*docs.columns)
+    named = langid.predict(docs, model, names=("__lang", "__score"))
+    return named.where((F.col("__lang") != "und") & (F.col("__score") >= langid.LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +36,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each pass that takes a document, its text cut where the source's target ends."""
-    keyed = docs.withColumn("same", F.xxhash64(*docs.columns))
-    mixed = mixing.mix(keyed, keep=["same"]).documents
-    sizes = mixed.groupBy("same").agg(F.first("size").alias("size"), sum((F.sum(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0)).alias("taken")).where("taken > 0")
-    one = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("same").orderBy("same"))).where("copy = 1")
-    rows = one.join(sizes, "same").withColumn("turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    words = F.least(F.col("taken") - F.col("turn") * F.col("size"), F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(words, F.lit(1))), " ")
-    rows = rows.withColumn("part", F.when(words < F.col("size"), cut).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.when(words < F.col("size"), F.char_length("part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", F.col("part"))
+    # the names with underscores can't clash with columns of docs
+    keyed = docs.withColumn("__same", F.xxhash64(*docs.columns))
+    mixed = mixing.mix(keyed, keep=["__same"]).documents
+    taken = sum((F.sum(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0))
+    sizes = mixed.groupBy("__same").agg(F.first("size").alias("__size"), taken.alias("__taken")).where("__taken > 0")
+    one = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__same").orderBy("__same"))).where("__copy = 1")
+    rows = one.join(sizes, "__same").withColumn("__turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)))
+    words = F.least(F.col("__taken") - F.col("__turn") * F.col("__size"), F.col("__size")).cast("int")
+    cut = F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), F.lit(1), F.greatest(words, F.lit(1))), " ")
+    rows = rows.withColumn("__short", words < F.col("__size")).withColumn("text", F.when(F.col("__short"), cut).otherwise(F.col("text")))
+    rows = rows.withColumn("n_chars", F.when(F.col("__short"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

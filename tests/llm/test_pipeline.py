@@ -81,13 +81,15 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages_on_odd_tables(spark):
     """Empty tables, null columns, repeated rows and rows without ids go through every stage."""
-    kind = "doc_id long, text string, lang string, source string, n_chars long, extra string, fp string"
-    rows = [(None, "der und nicht", None, None, None, None, "x"), (1, "same text here and there", "en", "s", 24, "a", None), (1, "same text here and there", "en", "s", 24, "a", None), (2, None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, hex string, row int, component_id long, score string, lang_pred string, taken int, turn int"
+    rest = (*(None,) * 2, "h", 1, 2, "s", None, 3, 4)
+    rows = [(None, "der und nicht", None, None, None, *rest), (1, "same text here and there", "en", "s", 24, *rest), (1, "same text here and there", "en", "s", 24, *rest), (2, None, None, None, None, *rest)]
     for data in ([], rows):
         docs = spark.createDataFrame(data, kind)
         for name, stage in C.STAGES:
             out = stage(spark, docs, "")
             n = out.count()
+            assert name == "tokens" or out.columns == docs.columns
             assert n == 0 or data, name
             if name == "near_dedup" and data:
                 assert n == 3

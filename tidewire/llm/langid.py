@@ -166,20 +166,20 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["lang", "at", "x"])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score added: a trained language, or 'und' and 0 where the text is null or has no letter.
 
-    Every row stays, repeated ones too. Columns of docs named lang_pred or score are replaced. The model's size depends
+    Every row stays, repeated ones too. names are the new columns; columns of docs with these names are replaced. The model's size depends
     on the number of languages only; it travels to the tasks with the function.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in names]
     slim = docs.select(*rest)
-    schema = T.StructType([*slim.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*slim.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             got = [model.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, *names])
 
     return slim.mapInArrow(run, schema)
 

@@ -101,7 +101,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11, keep: list[str] | N
     of their own. The same table gives the same mix however it is partitioned. An empty table gives an empty mix.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = staged(docs.select("doc_id", "source", *(keep or []), size.alias("size")), "sized")
+    names = [f"keep_{i}" for i in range(len(keep or []))]  # their own names might clash
+    sized = staged(docs.select("doc_id", "source", *[F.col(c).alias(n) for c, n in zip(keep or [], names)], size.alias("size")), "sized")
     n_docs = sized.count()
     sources = staged(targets(sized), "sources")
     n_slots = sources.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / block)), F.lit(0)).alias("n")).first()["n"]
@@ -126,7 +127,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11, keep: list[str] | N
     words = F.greatest(F.least("to", "last_word") - F.greatest("from", "first_word"), F.lit(0))
     taken = met.groupBy("source_no", "bucket", "row").agg(*[F.sum(F.when(F.col("turn") == t, words).otherwise(0)).alias(f"taken_{t + 1}") for t in range(PASSES)])
     full = known.join(taken, ["source_no", "bucket", "row"], "left")
-    full = full.select("doc_id", "source", *(keep or []), "size", "source_size", "target", *[F.coalesce(f"taken_{t + 1}", F.lit(0)).alias(f"taken_{t + 1}") for t in range(PASSES)])
+    full = full.select("doc_id", "source", *[F.col(n).alias(c) for c, n in zip(keep or [], names)], "size", "source_size", "target", *[F.coalesce(f"taken_{t + 1}", F.lit(0)).alias(f"taken_{t + 1}") for t in range(PASSES)])
     return Mix(full, plan)
 
 

@@ -139,15 +139,16 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> dict[tuple[str, int
     return out
 
 
-def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None, hits: str = "hits") -> DataFrame:
     """docs' doc_id and the columns in keep, plus hits array<struct<start, kind_no, end, kind>>, sorted by start and kind.
 
     Kinds assign, access and hex are the fixed patterns; random is what the battery adds: tokens of 20 or more characters
     that overlap none of the others. A null or empty text has no hit. Equal rows have equal hits. An empty table gives an empty one.
     """
     text = F.coalesce("text", F.lit(""))
+    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])]  # their own names might clash
     found = docs.select(
-        "doc_id", *(keep or []),
+        "doc_id", *kept,
         F.filter(spans(text, ASSIGN), lambda s: s["value"].rlike(ASSIGN_LONG)).alias("assign"),
         spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, TOKEN).alias("tokens"),
     )
@@ -163,8 +164,8 @@ def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None) ->
     stratum = lambda t: F.concat(t["got"]["encoding"], F.lit(":"), _band(t["end"] - t["start"]).cast("string"))
     added = F.filter("tested", lambda t: t["got"]["p"] >= F.try_element_at(limit, stratum(t)))
     hit = lambda name, col: F.transform(col, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind_no"), s["end"].alias("end"), F.lit(name).alias("kind")))
-    hits = F.array_sort(F.concat(*[hit(k, F.col(k)) for k in KINDS[:3]], hit("random", added)))
-    return found.select("doc_id", *(keep or []), hits.alias("hits"))
+    every = F.array_sort(F.concat(*[hit(k, F.col(k)) for k in KINDS[:3]], hit("random", added)))
+    return found.select("doc_id", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])], every.alias(hits))
 
 
 def _joined(hits: Column) -> Column:
@@ -173,18 +174,18 @@ def _joined(hits: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataFrame:
     """docs with each hit in text replaced by mark (hits that overlap by one mark) and n_chars, if there, counted again."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = scan(docs, rate, keep=rest)
+    own = "__hits"
+    rows = scan(docs, rate, [c for c in docs.columns if c != "doc_id"], own)
 
     def step(acc: Column, h: Column) -> Column:
         ahead = F.when(h["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, h["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.concat(acc["out"], ahead).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("hits", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.size("hits") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(own, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    rows = rows.withColumn("text", F.when(F.size(own) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("hits") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(own) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
