@@ -36,20 +36,26 @@ def event_fingerprint(title: Column, published: Column, cfg: Scoring = Scoring()
 def similar_sets(rows: DataFrame, id_col: str, items: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs a < b whose item sets have a Jaccard similarity of threshold or more.
 
-    Prefix filter: of n items only the n - ceil(t n) + 1 rarest are join keys, and sizes must lie within t of each
-    other, so common items are no join keys unless a set has no rarer ones. Equal sets are one set before the join.
+    Only a set's rarest items are join keys, so common items are none unless a set has no rarer ones: of the smaller set n -
+    ceil(2 t / (1 + t) n) + 1, of the larger one n - ceil(t n) + 1. A pair that meets at an item stays only if what follows that
+    item in both sets could still make the overlap needed. Equal sets are one set before the join; each copy is linked
+    to the first.
     """
+    t = threshold
     sets = rows.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(items)).alias("set")).where("size(set) > 0")
     same = sets.groupBy("set").agg(F.min("id").alias("id"))
     often = same.select(F.explode("set").alias("item")).groupBy("item").agg(F.count("*").alias("often"))
     long = same.select("id", F.size("set").alias("n"), F.explode("set").alias("item")).join(often, "item")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "item"))
-    keys = long.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "item")
-    left, right = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "item"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "item")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    met = left.join(right, "item").where(fits).select("a", "b").distinct()
+    long = long.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "item")))
+    upto = lambda share: F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    small = long.where(upto(2 * t / (1 + t))).select(F.col("id").alias("s"), F.col("n").alias("ns"), F.col("place").alias("ps"), "item")
+    large = long.where(upto(t)).select(F.col("id").alias("l"), F.col("n").alias("nl"), F.col("place").alias("pl"), "item")
+    order = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    left = F.least(F.col("ns") - F.col("ps"), F.col("nl") - F.col("pl")) + 1
+    fits = order & (F.col("ns") >= F.col("nl") * t - 1e-9) & (left >= (F.col("ns") + F.col("nl")) * (t / (1 + t)) - 1e-9)
+    met = small.join(large, "item").where(fits).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
     pairs = met.join(same.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(same.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    pairs = pairs.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    pairs = pairs.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= t).select("a", "b", "similarity")
     copies = sets.join(same.withColumnRenamed("id", "first"), "set").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return pairs.unionByName(copies)
 
