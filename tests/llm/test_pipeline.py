@@ -21,13 +21,13 @@ def corpus():
     texts = []
     for i in range(240):
         lang = list(SEEDS)[i % 4]
-        words = [rng.choice(SEEDS[lang].split()) + rng.choice(["", "", f"{rng.choice('aeiou')}{rng.choice('nrst')}"]) for _ in range(rng.choice([60, 150, 300]))]
+        words = [rng.choice(SEEDS[lang].split()) + rng.choice(["", "", f"{rng.choice('aeiou')}{rng.choice('nrst')}"]) for _ in range(rng.choice([200, 300]))]
         if i % 10 == 0:
             words.insert(5, f"password=b7db7aa4a5fcc{i:03}")
         texts.append((lang, " ".join(words)))
     rows = [(i, t, lang, f"src{i % 5}") for i, (lang, t) in enumerate(texts)]
     rows += [(1000 + k, texts[k % 7][1], texts[k % 7][0], "src0") for k in range(60)]  # exact copies
-    for k in range(20, 40):  # near copies: two words of each changed
+    for k in range(20, 40):  # near copies: two words of each changed, similarity over 0.9
         w = texts[k][1].split()
         w[10] = w[40] = "edited"
         rows.append((2000 + k, " ".join(w), texts[k][0], None))
