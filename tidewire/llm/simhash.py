@@ -3,8 +3,8 @@
 Documents become fingerprints, equal fingerprints become one node, and nodes that agree on a block key meet in
 one group. A group of any size is cut into tiles of a fixed number of fingerprints; two tiles meet in one task. In a
 task the fingerprints lie as bit planes (one machine word holds one bit of 64 fingerprints), differences are
-added by carry-save counters, and words whose 64 lanes all exceed the radius are abandoned. From a large group a task gives
-links that grow with its rows, never all pairs.
+added by carry-save counters, and words whose 64 lanes all exceed the radius are abandoned. A task gives the links of each
+batch of groups as stars, so links grow with the nodes met, never with their pairs.
 """
 
 from __future__ import annotations
@@ -152,10 +152,10 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 SMALL_RUN = 48
 
 
-def _links_in_runs(fps: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_in_runs(fps: np.ndarray, side: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside each run [start, end) of rows. side: 0 and 1 are two tiles of a large group (only pairs across), 2 all pairs.
 
-    A small run gives all its links, a large one a star for each component.
+    Links come as places of rows. A small run gives all its links, a large one a star for each component.
     """
     out_a, out_b = [], []
     size = ends - starts
@@ -166,8 +166,8 @@ def _links_in_runs(fps: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: n
         for k in range(0, len(at), step):
             x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
             near = _pair_distance(fps[x], fps[y]) <= radius
-            out_a.append(ids[x[near]])
-            out_b.append(ids[y[near]])
+            out_a.append(x[near])
+            out_b.append(y[near])
     for s, e in zip(starts[size > SMALL_RUN].tolist(), ends[size > SMALL_RUN].tolist()):
         rows = np.arange(s, e)
         left, right = rows[side[s:e] != 1], rows[side[s:e] != 0]
@@ -182,10 +182,9 @@ def _links_in_runs(fps: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: n
         x, y = np.concatenate(xs), np.concatenate(ys)
         label = _labels(e - s, x - s, y - s)
         tied = label != np.arange(e - s)
-        x, y = rows[tied], s + label[tied]
-        out_a.append(ids[x])
-        out_b.append(ids[y])
-    empty = ids[:0]
+        out_a.append(rows[tied])
+        out_b.append(s + label[tied])
+    empty = np.empty(0, np.int64)
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
 
@@ -219,9 +218,9 @@ def _keys(fps: np.ndarray, masks: list[list[tuple[int, int]]]) -> np.ndarray:
 
 
 def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]]) -> DataFrame:
-    """(a, b): links between nodes (node long, fp array<long>) that agree on a key and differ in at most radius bits.
+    """(a, b): stars that join what links join: nodes (node long, fp array<long>) that agree on a key and differ in at most radius bits.
 
-    A large key group gives stars that join what is linked in it, so components stay whole. Keys held by over TILE nodes are cut into tiles.
+    The components of the stars are those of all links. Keys held by over TILE nodes are cut into tiles.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +245,12 @@ def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]]
     )
     met = plain.unionByName(dealt).join(nodes.select("node", "fp"), "node").select("key", "node", "i", "j", "side", "fp")
     together = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return together.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
+    links = staged(together.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct(), "stars")
+    return links
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links in the runs of equal (key, i, j) of sorted rows; the last run of a batch waits for the next one."""
+    """Stars of the links in the runs of equal (key, i, j) of sorted rows; the last run of a batch waits for the next one."""
     held: pa.Table | None = None
 
     def links(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
@@ -263,8 +263,12 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
             return None, rest
         ends = np.r_[starts[1:], stop]
         fps = np.ascontiguousarray(table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(table.num_rows, -1).view(np.uint64)
-        a, b = _links_in_runs(fps, table.column("node").to_numpy(), table.column("side").to_numpy(), starts, ends, radius)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"]), rest
+        x, y = _links_in_runs(fps, table.column("side").to_numpy(), starts, ends, radius)
+        # a node is in many runs: one star joins what all runs of the batch link, its centre is the least node
+        node, place = np.unique(table.column("node").to_numpy(), return_inverse=True)
+        label = _labels(len(node), place[x], place[y])
+        tied = label != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[label[tied]])], names=["a", "b"]), rest
 
     for batch in batches:
         if not batch.num_rows:
@@ -320,7 +324,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     nodes = staged(own.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
     links = near_links(nodes, WIDE_RADIUS, sample_masks(64 * WIDE_WORDS, WIDE_TABLES, WIDE_KEY_BITS))
     named = _named(own, nodes, connected_components(links)).select("doc_id", "component_id")
-    return named.unionByName(fps.where("n_words = 0").select("doc_id", F.col("doc_id").alias("component_id")))
+    named = staged(named.unionByName(fps.where("n_words = 0").select("doc_id", F.col("doc_id").alias("component_id"))), "groups")
+    return named
 
 
 def _named(fps: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
