@@ -23,12 +23,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the least doc_id stays. Rows without a doc_id are not compared and stay."""
-    groups = staged(simhash.near_copies(docs), "groups")
+    groups = simhash.near_copies(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     # only rows whose doc_id repeats need a second look, so texts move no more than this join asks for
     aside = staged(gone.union(twice).distinct(), "aside")
     first = staged(twice.join(gone, "doc_id", "left_anti"), "first")
+    unstage(groups)
     kept = docs.join(aside, "doc_id", "left_anti").select(*docs.columns)
     return kept.unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import slices, staged, utf8
+from .common import slices, staged, unstage, utf8
 
 #: Fingerprints in a tile of a large group.
 TILE = 2048
@@ -246,6 +246,7 @@ def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]]
     met = plain.unionByName(dealt).join(nodes.select("node", "fp"), "node").select("key", "node", "i", "j", "side", "fp")
     together = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = staged(together.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct(), "stars")
+    unstage(rows, sizes)
     return links
 
 
@@ -325,6 +326,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     links = near_links(nodes, WIDE_RADIUS, sample_masks(64 * WIDE_WORDS, WIDE_TABLES, WIDE_KEY_BITS))
     named = _named(own, nodes, connected_components(links)).select("doc_id", "component_id")
     named = staged(named.unionByName(fps.where("n_words = 0").select("doc_id", F.col("doc_id").alias("component_id"))), "groups")
+    unstage(fps, nodes, links)
     return named
 
 
