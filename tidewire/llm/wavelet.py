@@ -2,7 +2,9 @@
 
 A shard keeps one bit plane for each bit of the ids, highest first; each plane orders the ids stably by that bit for
 the next one. With rank and select on the planes it gives access to a token, counts of an id in a range
-and the places where an id occurs, without decoding the rest. Planes are compressed one by one.
+and the places where an id occurs, without decoding the rest. Planes are compressed in blocks of BLOCK bits, and the file
+holds where each block lies and how many ones come before it: a rank reads one block, a select one block after a search in
+the samples.
 """
 
 from __future__ import annotations
@@ -21,53 +23,76 @@ from pyspark.sql import functions as F
 
 from .common import Cache, slices
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 #: Tokens after which a shard is closed at the end of a document.
 SHARD_TOKENS = 1 << 20
+#: Bits of a plane that are compressed together, and blocks that an open shard keeps decompressed.
+BLOCK, KEPT_BLOCKS = 1 << 16, 64
 #: The id that ends each document.
 END = 1
+_HEAD = "<QQBIQ"
 
 
-def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
-    """One shard file: magic, counts, the documents' ids and lengths, then for each plane its zeros and compressed bits."""
+def pack(ids: np.ndarray, doc_ids: list, lengths: list[int], block: int = BLOCK) -> bytes:
+    """One shard file: magic, counts, the documents' ids and lengths, then for each plane its samples and its compressed blocks.
+
+    Counts: ids, documents, planes, bits in a block, bytes of the documents' part. A plane: its zeros, then for each block the
+    ones before it and its bytes, then the blocks.
+    """
+    if block % 8:
+        raise ValueError("a block is whole bytes")
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     squeeze = zstandard.ZstdCompressor(level=1).compress
     head = squeeze(np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array(lengths, np.int64).tobytes())
-    out = [MAGIC, struct.pack("<QQBQ", len(ids), len(doc_ids), bits, len(head)), head]
+    out = [MAGIC, struct.pack(_HEAD, len(ids), len(doc_ids), bits, block, len(head)), head]
     seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    starts = np.arange(0, len(ids), block)
     for level in range(bits - 1, -1, -1):
         bit = (seq >> seq.dtype.type(level)) & seq.dtype.type(1) != 0
-        plane = squeeze(np.packbits(bit, bitorder="little").tobytes())
+        plane = np.packbits(bit, bitorder="little").tobytes()
         ones = np.flatnonzero(bit)
-        out += [struct.pack("<QQ", len(seq) - len(ones), len(plane)), plane]
+        blocks = [squeeze(plane[s // 8 : (s + block) // 8]) for s in starts.tolist()]
+        samples = np.stack([np.searchsorted(ones, starts), [len(b) for b in blocks]]).astype("<u8") if blocks else np.empty((2, 0), "<u8")
+        out += [struct.pack("<Q", len(seq) - len(ones)), samples.tobytes(), *blocks]
         if level:  # taking places is several times faster than a boolean index
             seq = np.concatenate([seq.take(np.flatnonzero(~bit)), seq.take(ones)])
     return b"".join(out)
 
 
 class Shard:
-    """A shard file opened for reading."""
+    """A shard file opened for reading. Opening reads the head and the samples; a block is decompressed when it is asked for."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        self.n, n_docs, self.bits, size = struct.unpack_from("<QQBQ", data, 4)
-        at = 4 + struct.calcsize("<QQBQ")
+        self.n, n_docs, self.bits, self.block, size = struct.unpack_from(_HEAD, data, 4)
+        at = 4 + struct.calcsize(_HEAD)
         head = zstandard.decompress(data[at : at + size]) if n_docs else b""
         at += size
         null = np.frombuffer(head, np.uint8, n_docs, 8 * n_docs)
         self.doc_ids = [None if z else d for d, z in zip(np.frombuffer(head, np.int64, n_docs).tolist(), null.tolist())]
         self.lengths = np.frombuffer(head[9 * n_docs :], np.int64, n_docs)
-        self.zeros, self._planes, self._ranks = [], [], {}
+        self.data, self.zeros, self._before, self._spans = data, [], [], []
+        n_blocks = -(-self.n // self.block)
         for _ in range(self.bits):
-            zeros, size = struct.unpack_from("<QQ", data, at)
-            at += 16
-            self.zeros.append(zeros)
-            self._planes.append(np.frombuffer(zstandard.decompress(data[at : at + size]) if self.n else b"", np.uint8))
-            at += size
+            self.zeros.append(struct.unpack_from("<Q", data, at)[0])
+            before, sizes = np.frombuffer(data, "<u8", 2 * n_blocks, at + 8).reshape(2, n_blocks).astype(np.int64)
+            ends = at + 8 + 16 * n_blocks + sizes.cumsum()
+            self._before.append(before)
+            self._spans.append(np.stack([ends - sizes, ends], axis=1))
+            at = int(ends[-1]) if n_blocks else at + 8
+        self._open = zstandard.ZstdDecompressor().decompress
+        self._blocks = Cache(self._read, KEPT_BLOCKS)
+        self.blocks_read = 0
+
+    def _read(self, which: tuple[int, int]) -> np.ndarray:
+        self.blocks_read += 1
+        start, end = self._spans[which[0]][which[1]].tolist()
+        return np.frombuffer(self._open(self.data[start:end]), np.uint8)
 
     def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self._planes[level], count=self.n, bitorder="little")
+        packed = [self._open(self.data[s:e]) for s, e in self._spans[level].tolist()]
+        return np.unpackbits(np.frombuffer(b"".join(packed), np.uint8), count=self.n, bitorder="little")
 
     def all(self) -> np.ndarray:
         """Every id: the planes from the lowest up, each undoing one stable partition."""
@@ -83,32 +108,30 @@ class Shard:
         return seq
 
     def rank(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane, from counts at every 64 bytes."""
-        if level not in self._ranks:
-            ones = np.bitwise_count(self._planes[level]).astype(np.int64)
-            self._ranks[level] = np.r_[0, np.add.reduceat(ones, np.arange(0, len(ones), 64)).cumsum()] if len(ones) else np.zeros(1, np.int64)
-        block, byte = i >> 9, i >> 3
-        total = int(self._ranks[level][block]) + int(np.bitwise_count(self._planes[level][block << 6 : byte]).sum())
-        return total + (int(self._planes[level][byte]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else total
+        """Ones among the first i bits of a plane: the sample of the block that holds place i, and the ones before i in it."""
+        if i >= self.n:
+            return self.n - self.zeros[level]
+        at, inside = divmod(i, self.block)
+        held = self._blocks[level, at]
+        total = int(self._before[level][at]) + int(np.bitwise_count(held[: inside >> 3]).sum())
+        return total + (int(held[inside >> 3]) & ((1 << (inside & 7)) - 1)).bit_count()
 
     def select(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) such bit of a plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self.rank(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        """The place of the k-th (from 0) such bit of a plane: the samples name its block, the bits of that block its place."""
+        starts = np.arange(len(self._before[level])) * self.block
+        before = self._before[level] if bit else starts - self._before[level]
+        at = int(np.searchsorted(before, k, side="right")) - 1
+        count = min(self.block, self.n - at * self.block)
+        bits = np.unpackbits(self._blocks[level, at], count=count, bitorder="little")
+        return at * self.block + int(np.flatnonzero(bits == bit)[k - int(before[at])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            one = int(self._planes[level][i >> 3]) >> (i & 7) & 1
+            at, inside = divmod(i, self.block)
+            one = int(self._blocks[level, at][inside >> 3]) >> (inside & 7) & 1
             ones = self.rank(level, i)
             value = value << 1 | one
             i = self.zeros[level] + ones if one else i - ones
@@ -148,11 +171,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, each distinct white-space-separated word once.
+    """Whole texts to the ids of the library's plain encode(text, add_special_tokens=False), each distinct word once.
 
-    The tokenizer drops white space, and no piece of it spans white space, so a text's ids are its words' ids in a row.
-    Words that were met before are looked up by Arrow. In a new word of Latin letters and marks at its end both parts are
-    pieces of their own: the library's model splits the letters, and words that differ in marks share them.
+    A word is a run without ASCII white space. The tokenizer drops white space, and neither a piece nor a special token's
+    string spans it, so a text's ids are its words' ids in a row. Words that were met before are looked up by Arrow. A new
+    word goes to the library whole, special tokens and all, but for the commonest kind: letters below U+0250 with marks at
+    the end. There both parts are pieces of their own, so the library's model splits the letters and words that differ in
+    marks or capitals share them. U+0130 is no such letter: lower-casing makes a letter and a combining mark of it.
     """
 
     def __init__(self, path: str, most: int = 1_500_000):
@@ -162,7 +187,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.normal, self.letters = self.tokenizer.model, self.tokenizer.normalizer, _byte_letters()
         self.parts = Cache(self._part, 300_000)
         self.most = most
@@ -173,7 +197,7 @@ class Encoder:
         self.first, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _part(self, part: str) -> bytes:
-        if part.isalpha() and max(part) < "\u0250":
+        if _plain(part):
             if not part.isascii():
                 part = "".join(map(self.letters.__getitem__, self.normal.normalize_str(part).encode()))
             return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
@@ -181,7 +205,9 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         core = word.rstrip(_MARKS)
-        return self.parts[core] + self.parts[word[len(core) :]] if len(core) < len(word) and core.isalpha() and max(core) < "\u0250" else self.parts[word]
+        if _plain(core):
+            return self.parts[core.lower()] + (self.parts[word[len(core) :]] if len(core) < len(word) else b"")
+        return self.parts[word]
 
     def _learn(self, words: list[str]) -> None:
         got = list(map(self._word, words))
@@ -192,7 +218,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each text)."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary
         if len(self.words) + len(distinct) > self.most:
@@ -209,7 +235,15 @@ class Encoder:
         return ids, np.diff(edges)
 
 
-_MARKS = ".,;:!?#*$%&|"
+#: Marks that are never part of a contraction or of a special token's string.
+_MARKS = ".,;:!?#*$%&"
+
+
+def _plain(word: str) -> bool:
+    """Letters below U+0250 only, none of which lower-cases to more than a letter."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 _encoders: dict[str, Encoder] = {}
 
 
