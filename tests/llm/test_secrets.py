@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from tidewire.llm import secrets as S
 
@@ -56,3 +60,79 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert S.op1_secrets(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def plain_p(body, letters):
+    """The same tests by counting: chi-squared, runs about the middle, lag-1 serial correlation; Sidak's combination."""
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    v, n, size = [letters.index(c) for c in body], len(body), len(letters)
+    squares = sum(c * c for c in Counter(v).values())
+    p = [tail((squares * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))]
+    high = [x > (size - 1) / 2 for x in v]
+    runs, h = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    mean = 2 * h * (n - h) / n + 1
+    p.append(2 * tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))))
+    m = sum(v) / n
+    along, about = sum((a - m) * (b - m) for a, b in zip(v, v[1:])), sum((a - m) ** 2 for a in v)
+    p.append(2 * tail(abs(along / max(about, 1e-9) + 1 / n) * math.sqrt(n)))
+    return 1 - (1 - min(max(min(p), 0), 1)) ** 3
+
+
+def plain_encoding(body):
+    for name, letters, classes in S.ENCODINGS:
+        if set(body) <= set(letters) and all(re.search(c, body) for c in classes):
+            return name, letters
+    return None, None
+
+
+def tokens(n, rng, skew=False):
+    for i in range(n):
+        letters = S.ENCODINGS[i % len(S.ENCODINGS)][1]
+        pool = letters[: len(letters) // 2] + letters[-2:] if skew and i % 3 else letters
+        yield "".join(rng.choice(pool) for _ in range(rng.randrange(20, 120)))
+
+
+def test_battery_against_a_plain_version(spark):
+    rng = random.Random(2)
+    words = [*tokens(150, rng, True), "a" * 19 + "1", "z1" * 15, "Some-Slug-2024-Of-An-Article", "A1" * 40 + "=="]
+    got = spark.createDataFrame([(w,) for w in words], "v string").withColumn("b", S.battery(F.col("v"))).collect()
+    assert sum(r.b is not None for r in got) > 100
+    for r in got:
+        body = r.v.rstrip("=")
+        name, letters = plain_encoding(body)
+        assert (r.b.encoding if r.b else None) == name, r.v
+        assert name is None or abs(r.b.p - plain_p(body, letters)) < 1e-5, r.v
+
+
+def test_thresholds_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = [("hex", 1, rng.random()) for _ in range(500)] + [("hex", 1, rng.random() ** 6) for _ in range(700)] + [("base64", 0, rng.random() ** 9) for _ in range(50)] + [("lower36", 2, 0.999)]
+    want = {}
+    for stratum in {r[:2] for r in rows}:
+        p = [r[2] for r in rows if r[:2] == stratum]
+        drawn = 2 * sum(x >= 0.5 for x in p)
+        for b in range(1, S.BINS):
+            t = b / S.BINS
+            accepted = sum(math.floor(x * S.BINS) >= b for x in p)
+            if accepted and accepted - (1 - t) * drawn <= S.RATE * accepted:
+                want[stratum] = t
+                break
+    assert S.thresholds(spark.createDataFrame(rows, "encoding string, band int, p double")) == want
+
+
+def test_long_tokens_and_texts_of_many_hits(spark):
+    """One token of 100,000 characters, and thousands of hits in one text: the work grows with the length."""
+    rng = random.Random(3)
+    letters = S.ENCODINGS[5][1]
+    long_token = "".join(rng.choice(letters) for _ in range(100_000))
+    many = " ".join(x for i in range(3000) for x in (hashlib.md5(b"%d" % i).hexdigest(), f"token=abcdef{i}", "".join(rng.choice(letters) for _ in range(30))))
+    rows = {r.doc_id: r for r in S.op1_secrets(frame(spark, [long_token, many])).collect()}
+    assert rows[0].n_hex == 0 and rows[1].n_hex == 3000 and rows[1].n_assign == 3000
+    assert rows[1].base_sha256 == hashlib.sha256(base(many).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in S.redact(frame(spark, [long_token, many])).collect()}
+    marked = sorted(tuple(map(int, s.split(":")[1:])) for s in rows[1].spans.split(","))
+    out, at = [], 0
+    for start, end in marked:
+        out += [many[at:start], "[secret]"] if start >= at else []
+        at = max(at, end)
+    assert clean[1] == "".join(out) + many[at:]

@@ -35,6 +35,43 @@ BANDS, BINS, RATE = (24, 32, 48, 96), 100, 0.05
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ufffd"
 
 
+#: Items that one inner step of a long fold handles.
+CHUNK = 128
+
+
+def in_chunks(items: Column, body) -> Column:
+    """body(part) of each run of CHUNK items, joined: what body compares within a part doesn't grow with the list."""
+
+    def cut(held: Column) -> Column:
+        parts = F.filter(F.sequence(F.lit(0), F.floor(F.size(held) / CHUNK).cast("int")), lambda c: c * CHUNK < F.size(held))
+        return F.flatten(F.transform(parts, lambda c: let(F.slice(held, c * CHUNK + 1, CHUNK), body)))
+
+    return let(items, cut)
+
+
+def fold(items: Column, state: Column, kind: str, step) -> Column:
+    """The array that step(state, item) -> (next state, value) gives over items, in order; kind is the value's type.
+
+    Appending to a growing array costs its length, so CHUNK values are gathered first and joined to the rest at once.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(state.alias("state"), none.alias("found"))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, value = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["found"], F.array(value)).alias("found"))
+
+    def whole(held: Column) -> Column:
+        def part(acc: Column, c: Column) -> Column:
+            inner = F.aggregate(F.slice(held, c * CHUNK + 1, CHUNK), F.struct(acc["state"].alias("state"), none.alias("found")), one)
+            return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["found"], i["found"]).alias("found")))
+
+        parts = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(held) > 0, F.aggregate(parts, start, part, lambda acc: acc["found"])).otherwise(none)
+
+    return let(items, whole)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start int, end int, value string>>: the matches, in code points, end exclusive.
 
@@ -42,23 +79,18 @@ def spans(text: Column, pattern: str) -> Column:
     characters itself, another one stands in for each, so places stay the same.
     """
     clean = F.replace(F.replace(text, F.lit(OPEN), F.lit(OTHER)), F.lit(CLOSE), F.lit(OTHER))
+    kind = "struct<start:int,end:int,value:string>"
 
-    def fold(marked: Column) -> Column:
-        kind = "array<struct<start:int,end:int,value:string>>"
-        first = F.struct(F.length(F.substring_index(marked, OPEN, 1)).alias("at"), F.array().cast(kind).alias("found"))
-
-        def step(acc: Column, piece: Column) -> Column:
-            def grow(value: Column) -> Column:
-                hit = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
-                return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
-
-            return let(F.substring_index(piece, CLOSE, 1), grow)
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
+        value = F.substring_index(piece, CLOSE, 1)
+        hit = let(value, lambda v: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value")))
+        return at + F.length(piece) - 1, hit
 
-        pieces = F.split(marked, OPEN, -1)
-        found = let(pieces, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), first, step, lambda acc: acc["found"]))
-        return F.when(F.contains(marked, F.lit(OPEN)), found).otherwise(F.array().cast(kind))
+    def placed(marked: Column) -> Column:
+        found = let(F.split(marked, OPEN, -1), lambda p: fold(F.slice(p, F.lit(2), F.size(p)), F.length(F.element_at(p, 1)), kind, step))
+        return F.when(F.contains(marked, F.lit(OPEN)), found).otherwise(F.array().cast(f"array<{kind}>"))
 
-    return let(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), fold)
+    return let(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), placed)
 
 
 def _tail(z: Column) -> Column:
@@ -70,24 +102,30 @@ def _tail(z: Column) -> Column:
 
 def battery(value: Column) -> Column:
     """struct<encoding string, p double> of a token; null where it fits no encoding. p is uniform if its characters are drawn at random."""
-    body = F.regexp_replace(value, "=+$", "")
-    out = F.lit(None).cast("struct<encoding:string,p:double>")
-    for name, alphabet, classes in reversed(ENCODINGS):
-        fits = (F.length(F.translate(body, alphabet, "")) == 0)
-        for c in classes:
-            fits = fits & body.rlike(c)
-        out = F.when(fits, F.struct(F.lit(name).alias("encoding"), _p(body, alphabet).alias("p"))).otherwise(out)
-    return out
+    kind = "struct<name:string,letters:string>"
+
+    def fitting(body: Column) -> Column:
+        found = F.lit(None).cast(kind)
+        for name, alphabet, classes in reversed(ENCODINGS):
+            fits = F.length(F.translate(body, alphabet, "")) == 0
+            for c in classes:
+                fits = fits & body.rlike(c)
+            found = F.when(fits, F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("letters"))).otherwise(found)
+        return let(found, lambda e: F.when(e.isNotNull(), F.struct(e["name"].alias("encoding"), _p(body, e["letters"]).alias("p"))))
+
+    return let(F.regexp_replace(value, "=+$", ""), fitting)
 
 
-def _p(body: Column, alphabet: str) -> Column:
-    size = float(len(alphabet))
+def _p(body: Column, alphabet: Column) -> Column:
+    size = F.length(alphabet).cast("double")
     mid = (size - 1) / 2
 
     def tests(v: Column) -> Column:
         n = F.size(v).cast("double")
-        # chi-squared: the sum of squared counts, its mean and variance under equal chances
-        squares = F.aggregate(F.transform(v, lambda x: F.size(F.filter(v, lambda y: y == x))), F.lit(0.0), lambda a, x: a + x)
+        # chi-squared: the sum of squared counts, its mean and variance under equal chances; one pass over the sorted letters
+        start = F.struct(F.lit(-1.0).alias("letter"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
+        longer = lambda a, x, run: F.struct(x.alias("letter"), (run + 1).alias("run"), (a["squares"] + 2 * run + 1).alias("squares"))
+        squares = F.aggregate(F.sort_array(v), start, lambda a, x: longer(a, x, F.when(x == a["letter"], a["run"]).otherwise(F.lit(0.0))), lambda a: a["squares"])
         chi = squares * size / n - n
         z_chi = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
         p_chi = F.when(z_chi >= 0, _tail(F.abs(z_chi))).otherwise(1 - _tail(F.abs(z_chi)))
@@ -107,7 +145,7 @@ def _p(body: Column, alphabet: str) -> Column:
         least = F.least(p_chi, p_runs, let(mean, serial))
         return 1 - F.pow(1 - F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0)), F.lit(3.0))
 
-    return let(F.transform(F.split(body, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double")), tests)
+    return let(F.transform(F.split(body, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double")), tests)
 
 
 def _band(length: Column) -> Column:
@@ -153,7 +191,9 @@ def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None, hit
         spans(text, ACCESS).alias("access"), spans(text, HEX).alias("hex"), spans(text, TOKEN).alias("tokens"),
     )
     base = F.concat("assign", "access", "hex")
-    alone = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    meets = lambda b, start, end: (b["start"] < end) & (start < b["end"])
+    around = lambda part: F.filter(base, lambda b: meets(b, F.element_at(part, 1)["start"], F.element_at(part, -1)["end"]))
+    alone = in_chunks(F.col("tokens"), lambda part: let(around(part), lambda near: F.filter(part, lambda t: ~F.exists(near, lambda b: meets(b, t["start"], t["end"])))))
     tested = F.transform(alone, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["value"]).alias("got")))
     found = found.withColumn("tested", F.filter(tested, lambda t: t["got"].isNotNull())).drop("tokens")
     bare = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -177,12 +217,21 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataF
     own = "__hits"
     rows = scan(docs, rate, [c for c in docs.columns if c != "doc_id"], own)
 
-    def step(acc: Column, h: Column) -> Column:
-        ahead = F.when(h["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, h["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.concat(acc["out"], ahead).alias("out"))
+    # the text before each hit and its mark; hits are cut out of the text CHUNK at a time, so no hit counts the whole text's characters
+    def step(state: Column, h: Column) -> tuple[Column, Column]:
+        ahead = F.when(h["start"] >= state, F.struct(state.alias("from"), h["start"].alias("to"))).otherwise(F.struct(state.alias("from"), F.lit(-1).alias("to")))
+        return F.greatest(state, h["end"]), ahead
+
+    gaps = F.filter(fold(F.col(own), F.lit(0), "struct<from:int,to:int>", step), lambda g: g["to"] >= 0)
+
+    def cut(part: Column) -> Column:
+        base = F.element_at(part, 1)["from"]
+        near = F.substring(F.col("text"), base + 1, F.element_at(part, -1)["to"] - base)
+        pieces = lambda t: F.transform(part, lambda g: F.concat(F.substring(t, g["from"] - base + 1, g["to"] - g["from"]), F.lit(mark)))
+        return let(near, pieces)
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(own, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    last = F.array_max(F.transform(own, lambda h: h["end"]))
+    clean = F.concat(F.array_join(in_chunks(gaps, cut), ""), F.substring(F.col("text"), last + 1, F.length("text")))
     rows = rows.withColumn("text", F.when(F.size(own) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size(own) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
