@@ -98,21 +98,22 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11, keep: list[str] | N
     """Mix all documents (see the module). keep: columns of docs that stay beside doc_id and source.
 
     A null text has no words. Rows without a source are a source of their own, the last one. Equal rows are rows
-    of their own. The same table gives the same mix however it is partitioned. An empty table gives an empty mix.
+    of their own. The same table gives the same mix however it is partitioned: rows of one id, or without one, are shuffled and
+    ordered by their text's hash, and rows that are equal in both can stand for each other. An empty table gives an empty mix.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     names = [f"keep_{i}" for i in range(len(keep or []))]  # their own names might clash
-    sized = staged(docs.select("doc_id", "source", *[F.col(c).alias(n) for c, n in zip(keep or [], names)], size.alias("size")), "sized")
+    sized = staged(docs.select("doc_id", "source", *[F.col(c).alias(n) for c, n in zip(keep or [], names)], size.alias("size"), F.xxhash64("text").alias("same")), "sized")
     n_docs = sized.count()
     sources = staged(targets(sized), "sources")
     n_slots = sources.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / block)), F.lit(0)).alias("n")).first()["n"]
     plan = staged(schedule(sources, n_slots, block), "schedule")
 
     buckets = max(-(-n_docs // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.xxhash64(F.lit(seed), "doc_id")
+    at = F.xxhash64(F.lit(seed), "doc_id", "same")
     known = sized.join(sources.select(F.col("source").alias("s"), "source_no", "source_size", "target", "goal"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     known = known.withColumn("at", at).withColumn("bucket", F.pmod("at", F.lit(buckets)))
-    line = Window.partitionBy("source_no", "bucket").orderBy("at", "doc_id", "size")
+    line = Window.partitionBy("source_no", "bucket").orderBy("at", "doc_id", "size", "same")
     known = known.withColumn("row", F.row_number().over(line)).withColumn("inside", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     known = staged(known, "lines")
     held = known.groupBy("source_no", "bucket").agg(F.sum("size").alias("held"))

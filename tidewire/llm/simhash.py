@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared as vertical bit planes.
 
 Documents become fingerprints, equal fingerprints become one node, and nodes that agree on a block key meet in
-one group. A group of any size is cut into tiles of a fixed number of fingerprints; two tiles meet in one task. In a
-task the fingerprints lie as bit planes (one machine word holds one bit of 64 fingerprints), differences are
+one group. The key of a large group is divided by further blocks, and what is still large is cut into tiles of a fixed
+number of fingerprints, of which every two meet in one task. In a task the fingerprints lie as bit planes (one machine word holds one bit of 64 fingerprints), differences are
 added by carry-save counters, and words whose 64 lanes all exceed the radius are abandoned. A task gives the links of each
 batch of groups as stars, so links grow with the nodes met, never with their pairs.
 """
@@ -15,9 +15,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from .common import slices, staged, unstage, utf8
@@ -188,65 +187,80 @@ def _links_in_runs(fps: np.ndarray, side: np.ndarray, starts: np.ndarray, ends:
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
 
-def block_masks(bits: int, blocks: int, clean: int) -> list[list[tuple[int, int]]]:
-    """For each choice of clean blocks out of blocks, the (first bit, number of bits) of each block chosen."""
-    edge = [round(i * bits / blocks) for i in range(blocks + 1)]
-    return [[(edge[i], edge[i + 1] - edge[i]) for i in pick] for pick in combinations(range(blocks), clean)]
+def _deal(key: np.ndarray, fp: np.ndarray, used: np.ndarray, radius: int, clean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, new key, bits used) of each choice of clean blocks among radius + clean blocks of the bits not used yet.
 
-
-def sample_masks(bits: int, tables: int, key_bits: int, seed: int = 7) -> list[list[tuple[int, int]]]:
-    """tables fixed random choices of key_bits single bits."""
-    rng = np.random.default_rng(seed)
-    return [[(int(i), 1) for i in sorted(rng.choice(bits, key_bits, replace=False))] for _ in range(tables)]
+    Two fingerprints that agree on the used bits and differ in at most radius others leave clean blocks equal (pigeonhole), so
+    they agree on a new key. A key is a hash of the old key, the choice and its bits; a collision only adds comparisons.
+    """
+    rows, keys, bits = [], [], []
+    for u in np.unique(used).tolist():
+        at = np.flatnonzero(used == u)
+        free = [i for i in range(64) if not u >> i & 1]
+        edge = [round(i * len(free) / (radius + clean)) for i in range(radius + clean + 1)]
+        blocks = [sum(1 << i for i in free[a:b]) for a, b in zip(edge, edge[1:])]
+        for m, pick in enumerate(combinations(blocks, clean)):
+            mask = sum(pick)
+            rows.append(at)
+            keys.append(_mix(_mix(fp[at] & np.uint64(mask), m + 1) ^ key[at], 3))
+            bits.append(np.full(len(at), u | mask, np.uint64))
+    return tuple(np.concatenate(x) for x in (rows, keys, bits))
 
 
-def _keys(fps: np.ndarray, masks: list[list[tuple[int, int]]]) -> np.ndarray:
-    """(n, words) -> (n, len(masks)) keys: the bits chosen, and the number of the choice above them."""
-    out = np.empty((len(fps), len(masks)), np.int64)
-    for m, parts in enumerate(masks):
-        key, width = np.zeros(len(fps), np.uint64), 0
-        for first, n in parts:
-            done = 0
-            while done < n:  # a block may run over the end of a word
-                word, at = divmod(first + done, 64)
-                take = min(n - done, 64 - at)
-                piece = (fps[:, word] >> np.uint64(at)) & np.uint64((1 << take) - 1)
-                key |= piece << np.uint64(width)
-                width, done = width + take, done + take
-        out[:, m] = (key | np.uint64(m << 40)).view(np.int64)
-    return out
+#: Most times that a hot key is divided by further blocks, and free bits that a division needs.
+DIVISIONS, LEAST_FREE = 3, 16
 
 
-def near_links(nodes: DataFrame, radius: int, masks: list[list[tuple[int, int]]]) -> DataFrame:
-    """(a, b): stars that join what links join: nodes (node long, fp array<long>) that agree on a key and differ in at most radius bits.
+def exact_keys(nodes: DataFrame, radius: int, clean: int) -> DataFrame:
+    """(key long, node long): nodes, which are 64-bit fingerprints, within radius share a key; no key is held by many for want of bits.
 
-    The components of the stars are those of all links. Keys held by over TILE nodes are cut into tiles.
+    A key of over TILE nodes is divided by further blocks of the bits that it doesn't use, again and again up to DIVISIONS times; only
+    nodes that agree on nearly all bits still share a hot key then, and these are near each other.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fps = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).view(np.uint64)
-            for at in range(0, len(fps), 2000):
-                keys = _keys(fps[at : at + 2000], masks)
-                row = np.repeat(np.arange(at, at + len(keys)), len(masks))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(row))], names=["key", "node"])
-
-    rows = staged(nodes.select("node", "fp").mapInArrow(spread, "key long, node long"), "keys")
-    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "sizes")
-    plain = rows.join(sizes.where(F.col("held") <= TILE).select("key"), "key", "left_semi").select("key", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+    def dealt(rows: DataFrame, clean: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 4000):
+                    key, node, used = (c.to_numpy(zero_copy_only=False)[at : at + 4000].view(np.uint64) for c in b.columns)
+                    row, new, bits = _deal(key, node, used, radius, clean)
+                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(node[row].view(np.int64)), pa.array(bits.view(np.int64))], names=["key", "node", "used"])
+
+        return rows.mapInArrow(run, "key long, node long, used long")
+
+    zero = F.lit(0).cast("long")
+    rows = staged(dealt(nodes.select(zero.alias("key"), "node", zero.alias("used")), clean), "keys")
+    out = None
+    for _ in range(DIVISIONS):
+        hot = staged(rows.where(F.bit_count("used") <= 64 - LEAST_FREE).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > TILE).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        calm, more = rows.join(hot, "key", "left_anti").select("key", "node"), rows.join(hot, "key", "left_semi").select("key", "node", "used")
+        out = calm if out is None else out.unionByName(calm)
+        rows = staged(dealt(more, 2), "keys")
+    return rows.select("key", "node") if out is None else staged(out.unionByName(rows.select("key", "node")), "keys")
+
+
+def near_links(keys: DataFrame, radius: int, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b): stars that join what links join: nodes that share a key and differ in at most radius bits.
+
+    keys: (key long, node long). nodes: (node, fp array<long>); without it a node is its own 64-bit fingerprint. The components
+    of the stars are those of all links. Keys held by over TILE nodes are cut into tiles, and every two tiles meet.
+    """
+    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "sizes")
+    plain = keys.join(sizes.where(F.col("held") <= TILE).select("key"), "key", "left_semi").select("key", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
     hot = sizes.where(F.col("held") > TILE).withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int"))
     tile = F.pmod(F.xxhash64("node", F.lit(5)), F.col("tiles")).cast("int")
-    dealt = rows.join(hot, "key").withColumn("t", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = keys.join(hot, "key").withColumn("t", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select(
         "key", "node", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"),
         F.when(F.col("t") == F.col("other"), 2).when(F.col("t") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    met = plain.unionByName(dealt).join(nodes.select("node", "fp"), "node").select("key", "node", "i", "j", "side", "fp")
-    together = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = plain.unionByName(dealt)
+    met = met.withColumn("fp", F.array("node")) if nodes is None else met.join(nodes.select("node", "fp"), "node")
+    together = met.select("key", "node", "i", "j", "side", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = staged(together.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct(), "stars")
-    unstage(rows, sizes)
+    unstage(sizes)
     return links
 
 
@@ -287,53 +301,202 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
             yield out
 
 
-def exact_masks(n_nodes: int, radius: int) -> list[list[tuple[int, int]]]:
-    """Keys that two 64-bit fingerprints within radius must share (pigeonhole): 2, 3 or 4 of radius + that many blocks.
-
-    More nodes take longer keys and more of them; the links found are the same for every choice.
-    """
-    clean = 2 if n_nodes < 1 << 27 else 3 if n_nodes < 1 << 33 else 4
-    return block_masks(64, radius + clean, clean)
+def clean_blocks(n_nodes: int) -> int:
+    """Clean blocks that a key holds: more nodes take longer keys and more of them; the links found are the same for every choice."""
+    return 2 if n_nodes < 1 << 27 else 3 if n_nodes < 1 << 33 else 4
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp array<long>, component_id): documents linked by 64-bit fingerprints at most radius bits apart.
+    """(doc_id, fp array<long>, component_id): one row for each row of docs, linked by 64-bit fingerprints at most radius bits apart.
 
     component_id is the least doc_id reachable, the document's own where it has no link. Every link is found. Null and
     empty texts have the fingerprint zero and are linked like any other. Equal rows are linked. doc_id is an
-    integer; rows without one are left out. Other columns are ignored. An empty table gives an empty table.
+    integer; a row without one is linked like any other, and its component_id is null only if no row of its component has a
+    doc_id. Other columns are ignored. An empty table gives an empty table.
     """
-    fps = staged(fingerprints(docs.where(F.col(id_col).isNotNull()), shingle, 1, id_col, text_col), "fps")
-    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
-    links = near_links(nodes, radius, exact_masks(nodes.count(), radius))
-    return _named(fps, nodes, connected_components(links))
-
-
-#: Near copies of five-word shingles: 256-bit fingerprints, of which two documents of similarity 0.8 differ in about
-#: 39 bits, standard deviation 6, and unrelated ones in 128; tables of keys, each of so many sampled bits.
-WIDE_WORDS, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 46, 80, 24
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents linked by wide fingerprints, for similarities of about 0.8 and more.
-
-    Pairs that share a key are compared. A pair of similarity 0.8 is linked in about seven of ten cases, one of 0.85 in 19 of 20, one of 0.9
-    always; one of 0.7 in about one of ten. doc_id is an integer. Rows without one are left out. Texts without words stay alone.
+    fps = staged(fingerprints(docs, shingle, 1, id_col, text_col), "fps")
+    nodes = staged(fps.groupBy(F.element_at("fp", 1).alias("node")).agg(F.min("doc_id").alias("least")), "nodes")
+    keys = exact_keys(nodes.select("node"), radius, clean_blocks(nodes.count()))
+    links = near_links(keys, radius)
+    unstage(keys)
+    linked = staged(connected_components(links).join(nodes, "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "component").select("node", "component_id", F.lit(True).alias("tied"))
+    of = nodes.join(named, "node", "left").select("node", F.when(F.col("tied"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return fps.join(of, F.element_at("fp", 1) == F.col("node")).select("doc_id", "fp", "component_id")
+
+
+# ---- near copies: candidates by min-wise keys, SimHash distance by bit planes, then the exact similarity ----
+
+#: Words in a shingle and the least Jaccard similarity of two shingle sets that makes a link.
+NEAR_SHINGLE, NEAR_LEAST = 5, 0.8
+#: Wide fingerprints: at similarity 0.8 two of 256 bits differ in 39 on average, standard deviation 6; unrelated ones in 128.
+#: The radius leaves four standard deviations, so what it loses is below one in ten thousand.
+WIDE_WORDS, WIDE_RADIUS = 4, 64
+#: Candidates share one of BANDS keys, each of ROWS min-wise hashes: 998 of 1000 pairs of similarity 0.8 do, all but a few of 10**5 at 0.85.
+BANDS, ROWS = 16, 5
+#: Texts and bytes that one task verifies together, and leaders of a larger component that every tile of it meets.
+TILE_TEXTS, TILE_BYTES, LEADERS = 512, 32 << 20, 16
+_A = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = np.random.default_rng(12).integers(0, 2**63, BANDS * ROWS, np.uint64)
+
+
+def min_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes."""
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (h[None, at : at + 4096] * _A[:, None] + _B[:, None]).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mix(key ^ column, 5)
+    return key.view(np.int64)
+
+
+def text_key(text: str = "text") -> list:
+    """Two hashes, 128 bits, that stand for a whole text."""
+    return [F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit(7), F.col(text)).alias("h2")]
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): enough verified links to join all that the links of each group join.
+
+    Rows come sorted by group, (component, i, j). side 0 meets side 1; side 2 meets every row. Rows of equal mark are joined already.
     """
-    fps = staged(fingerprints(docs.where(F.col(id_col).isNotNull()), shingle, WIDE_WORDS, id_col, text_col), "fps")
-    own = fps.where("n_words > 0")
-    nodes = staged(own.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
-    links = near_links(nodes, WIDE_RADIUS, sample_masks(64 * WIDE_WORDS, WIDE_TABLES, WIDE_KEY_BITS))
-    named = _named(own, nodes, connected_components(links)).select("doc_id", "component_id")
-    named = staged(named.unionByName(fps.where("n_words = 0").select("doc_id", F.col("doc_id").alias("component_id"))), "groups")
-    unstage(fps, nodes, links)
-    return named
+    held: list[tuple] = []
+
+    def links() -> pa.RecordBatch:
+        node, side, mark = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
+        fps = np.array([r[4] for r in held], np.int64).view(np.uint64)
+        sets = [np.unique(shingle_hashes(r[5], shingle)) for r in held]
+        root = list(range(len(held)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        first: dict[int, int] = {}
+        for x, m in enumerate(mark.tolist()):
+            root[x] = find(first.setdefault(m, x))
+        pairs = []
+        for k in range(0, len(held), 256):
+            q, b = within(fps[k : k + 256], fps, WIDE_RADIUS)
+            x = q + k
+            ok = (x < b) & ((side[x] == 2) | (side[b] == 2) | (side[x] != side[b])) & (mark[x] != mark[b])
+            pairs.append(np.stack([_pair_distance(fps[x[ok]], fps[b[ok]]), x[ok], b[ok]]))
+        pairs = np.concatenate(pairs, axis=1)
+        out = []
+        for x, y in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():  # the nearest first: most others are joined by then
+            i, j = find(x), find(y)
+            if i != j and similar(sets[x], sets[y], least):
+                root[max(i, j)] = min(i, j)
+                out.append((x, y))
+        a, b = (node[[o[k] for o in out]] if out else np.empty(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    for batch in batches:
+        cols = [batch.column(n).to_pylist() for n in ("component", "i", "j", "node", "side", "mark", "fp", "body")]
+        for component, i, j, *row in zip(*cols):
+            if held and held[-1][0] != (component, i, j):
+                yield links()
+                held.clear()
+            held.append(((component, i, j), *row))
+    if held:
+        yield links()
+
+
+def verified_links(texts: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR_LEAST) -> DataFrame:
+    """(a, b): links between texts of one component whose shingle sets have at least this Jaccard similarity.
+
+    texts: node long, component long, fp array<long>, body binary. The links found join what all such links join. A component of
+    up to TILE_TEXTS texts is one group. A larger one is cut into tiles; every tile also meets LEADERS of its texts, which
+    joins nearly all of a group of copies at a cost linear in it. What is then not joined to the component's largest part meets all
+    tiles. So no link is lost, and only components whose texts are hardly alike cost more than a few readings.
+    """
+    per = texts.groupBy("component").agg(F.count("*").alias("held"), F.sum(F.octet_length("body")).alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("held") / TILE_TEXTS), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    per = staged(per.select("component", tiles.alias("tiles")), "tiles")
+    cut = texts.join(per, "component").withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int"))
+    cols = ["component", "i", "j", "node", "side", "mark", "fp", "body"]
+    own = cut.select("component", "i", F.lit(0).alias("j"), "node", F.lit(2).alias("side"), F.col("node").alias("mark"), "fp", "body")
+    large = per.where("tiles > 1")
+    check = lambda df: df.select(*cols).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lambda it: _verify(it, shingle, least), "a long, b long")
+    if large.isEmpty():
+        links = staged(check(own), "verified")
+        unstage(per)
+        return links
+    turn = Window.partitionBy("component").orderBy(F.xxhash64("node", F.lit(4)), "node")
+    leaders = texts.join(large, "component").select("component", "node", "tiles").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS)
+    guests = texts.join(leaders.select("node", "tiles"), "node").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    guests = guests.where(F.col("i") != F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles"))).select("component", "i", F.lit(0).alias("j"), "node", F.lit(2).alias("side"), F.col("node").alias("mark"), "fp", "body")
+    links = staged(check(own.unionByName(guests)), "verified")
+    # a tile's leaders are joined by one tile only if they are alike; what stays apart from the largest part meets every tile
+    parts = connected_components(links)
+    marked = staged(cut.where("tiles > 1").select("component", "node", "i", "tiles").join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("mark", F.coalesce("part", "node")).drop("part"), "marked")
+    most = marked.groupBy("component", "mark").count().groupBy("component").agg(F.max(F.struct("count", F.col("mark").alias("main")))["main"].alias("main"))
+    apart = marked.join(most, "component").where("mark <> main")
+    chunks = apart.groupBy("component").agg(F.ceil(F.count("*") / TILE_TEXTS).cast("int").alias("chunks"))
+    apart = staged(apart.join(chunks, "component").withColumn("j", F.pmod(F.xxhash64("node", F.lit(6)), F.col("chunks")).cast("int")).select("component", "node", "j", "tiles", "chunks", "mark"), "apart")
+    if apart.isEmpty():
+        unstage(per, marked, apart)
+        return links
+    body = texts.select("node", "fp", "body")
+    some = apart.select("component", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), "j", "node", F.lit(1).alias("side"), "mark")
+    every = marked.join(apart.groupBy("component").agg(F.first("chunks").alias("chunks")), "component")
+    every = every.select("component", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "node", F.lit(0).alias("side"), "mark")
+    more = staged(check(some.unionByName(every).join(body, "node")), "verified")
+    unstage(per, marked, apart)
+    return links.unionByName(more)
+
+
+def near_copies(docs: DataFrame, least: float = NEAR_LEAST, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h1, h2, component): one row for each row of docs whose text has a word; near copies share a component.
+
+    Two texts are linked if the Jaccard similarity of their shingle sets is at least least; every link is checked on the whole
+    texts. Candidates share a min-wise key (BANDS, ROWS), which 998 of 1000 pairs at 0.8 do, and nearly all above; SimHash distances
+    by bit planes leave the pairs to check. h1, h2 (text_key) and doc_id tell the row; doc_id may be null or repeated. Equal texts share a
+    component. Rows without words are left out, other columns too. An empty table gives an empty table.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
-def _named(fps: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of fps with their node's component."""
-    of = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", F.col("component_id").cast(fps.schema["doc_id"].dataType).alias("component_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "body"):
+            made: dict[bytes, tuple] = {}
+            got = []
+            for text in b.column(3).to_pylist():
+                if text not in made:
+                    h = shingle_hashes(text, shingle)
+                    made[text] = ([_majority(h if k == 0 else _mix(h, k)) for k in range(WIDE_WORDS)], min_keys(h)) if len(h) else (None, None)
+                got.append(made[text])
+            fps = [None if g[0] is None else np.array(g[0], np.uint64).view(np.int64) for g in got]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "fp", "keys"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_key(text_col), utf8(text_col).alias("body"))
+    fps = staged(rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, fp array<long>, keys array<long>").where("fp is not null"), "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"].alias("one")
+    texts = fps.groupBy("h1", "h2").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = staged(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = staged(nodes.select(F.explode("keys").alias("key"), "node"), "keys")
+    stars = near_links(keys, WIDE_RADIUS, nodes)
+    tied = staged(connected_components(stars).join(nodes.select("node", "h1", "h2", "one", "fp"), "node"), "tied")
+    unstage(keys, stars)
+    # one row for each text that has a candidate: the row of its least doc_id
+    chosen = rows.select("doc_id", "h1", "h2", "body").join(tied, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("one")))
+    chosen = staged(chosen.select("node", "component", "fp", "body").dropDuplicates(["node"]), "texts")
+    links = verified_links(chosen, shingle, least)
+    of = nodes.join(connected_components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    named = staged(fps.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "h1", "h2", "component"), "groups")
+    unstage(fps, nodes, tied, chosen, links)
+    return named
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
