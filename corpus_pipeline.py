@@ -7,7 +7,7 @@ the shared folder and reads them back for the next one, so a lost executor repea
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, langid, mixing, secrets, simhash
@@ -22,41 +22,60 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least doc_id stays. Rows without a doc_id are not compared and stay."""
+    """Of each group of near copies (five-word shingle sets of similarity 0.8 or more), one document stays: the one of least doc_id.
+
+    A row without a doc_id stays only if no row of its group has one. Of rows equal in doc_id and text one stays. Rows without words
+    have no copies and stay. Other columns may hold anything.
+    """
     groups = simhash.near_copies(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # only rows whose doc_id repeats need a second look, so texts move no more than this join asks for
-    aside = staged(gone.union(twice).distinct(), "aside")
-    first = staged(twice.join(gone, "doc_id", "left_anti"), "first")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = groups.groupBy("component").agg(F.count("*").alias("held"), F.min(row).alias("stays")).where("held > 1")
+    named = groups.join(first, "component").select("doc_id", "h1", "h2", (row == F.col("stays")).alias("stays"))
+    turned = named.groupBy("doc_id", "h1", "h2").agg(F.first("stays").alias("stays"), F.count("*").alias("held"))
+    aside = staged(turned.where("not stays or held > 1").select(F.col("doc_id").alias("__id"), F.col("h1").alias("__a"), F.col("h2").alias("__b"), "stays"), "aside")
     unstage(groups)
-    kept = docs.join(aside, "doc_id", "left_anti").select(*docs.columns)
-    return kept.unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    h1, h2 = simhash.text_key("text")
+    keyed = docs.withColumns({"__h1": h1, "__h2": h2})
+    same = (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = keyed.join(aside, same, "left_anti")
+    one = keyed.join(aside.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "__h1", "__h2"])
+    return kept.unionByName(one).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts become a mark; every document stays."""
+    """Secrets in texts become a mark; every row stays, repeated ones and those without text or doc_id too."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each pass that takes a document, its text cut where the source's target ends."""
+    """The words that the mix takes: a row for each pass that takes a document, its text cut where the source's target ends.
+
+    A null or empty text has no words and gives no row. Rows equal in doc_id, source and text are one document, taken as often as
+    all of them; their other columns are those of one of them. n_chars, if there, is counted again where a text is cut.
+    """
     # the names with underscores can't clash with columns of docs
-    keyed = docs.withColumn("__same", F.xxhash64(*docs.columns))
-    mixed = mixing.mix(keyed, keep=["__same"]).documents
+    h1, h2 = simhash.text_key("text")
+    keyed = docs.withColumns({"__h1": h1, "__h2": h2})
+    mixed = mixing.mix(keyed, keep=["__h1", "__h2"]).documents
     taken = sum((F.sum(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0))
-    sizes = mixed.groupBy("__same").agg(F.first("size").alias("__size"), taken.alias("__taken")).where("__taken > 0")
-    one = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__same").orderBy("__same"))).where("__copy = 1")
-    rows = one.join(sizes, "__same").withColumn("__turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)))
+    key = [F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("__h1").alias("__a"), F.col("__h2").alias("__b")]
+    sizes = mixed.groupBy(*key).agg(F.first("size").alias("__size"), taken.alias("__taken"), F.count("*").alias("__held")).where("__taken > 0")
+    sizes = staged(sizes, "taken")
+    same = (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from"))
+    single, repeated = sizes.where("__held = 1"), sizes.where("__held > 1")
+    one = keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "source", "__h1", "__h2"])
+    rows = keyed.join(single, same).unionByName(one.join(repeated, same))
+    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)))
     words = F.least(F.col("__taken") - F.col("__turn") * F.col("__size"), F.col("__size")).cast("int")
     cut = F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), F.lit(1), F.greatest(words, F.lit(1))), " ")
     rows = rows.withColumn("__short", words < F.col("__size")).withColumn("text", F.when(F.col("__short"), cut).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.when(F.col("__short"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__short"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row. A null text has no ids; repeated rows and null doc_ids stay."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
