@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidewire.llm import html as H
 from tidewire.llm import langid as L
 
@@ -34,6 +36,109 @@ def test_repeats_of_a_host_go_where_there_is_no_article(spark):
     assert got[10] == got[11] == own[0]
 
 
+def test_class_names_are_a_prior_only():
+    of = lambda page: [t for k, t in H._main_role(page, H.blocks(page)) if k != H.CHROME]
+    assert of('<article><div class="comment-free notice-board">Story of the day</div></article>') == ["Story of the day"]
+    assert of('<main><div class="replies-enabled article-body">' + "text " * 200 + '</div><p>By me</p></main>') == [("text " * 200).strip(), "By me"]
+    long_talk = '<section class="comments"><p>' + "a reader says much " * 90 + "</p></section>"
+    story = " ".join(f"w{i}" for i in range(100))
+    assert of(f"<article><p>{story}</p></article>{long_talk}") == [story]
+    assert of("if x <y then stop here and the rest of it") == ["if x <y then stop here and the rest of it"]
+    assert of("a < b <! c and so on") == ["a < b <! c and so on"]
+    assert of('<p>one</p><a href="x') == ["one"] and of('<p title="odd>two</p>') == ["two"]
+
+
+def plain_covered(streams: list[list[int]], need: int, least: int) -> list[list[bool]]:
+    """Places in runs of least tokens that stand on need or more pages, by counting every run."""
+    on: dict[tuple, set] = {}
+    for i, x in enumerate(streams):
+        for j in range(len(x) - least + 1):
+            on.setdefault(tuple(x[j : j + least]), set()).add(i)
+    out = []
+    for x in streams:
+        hit = [False] * len(x)
+        for j in range(len(x) - least + 1):
+            if len(on[tuple(x[j : j + least])]) >= need:
+                hit[j : j + least] = [True] * least
+        out.append(hit)
+    return out
+
+
+def test_suffix_array_and_cover_against_plain_versions():
+    rng = random.Random(8)
+    for _ in range(60):
+        passage = [rng.randrange(9) for _ in range(12)]
+        streams = [[rng.randrange(rng.choice([2, 30])) for _ in range(rng.randrange(0, 40))] + (passage if rng.random() < 0.5 else []) for _ in range(rng.randrange(1, 7))]
+        flat = np.array([t for x in streams for t in x], np.int64)
+        sizes = np.array([len(x) for x in streams])
+        end, page = np.repeat(sizes.cumsum(), sizes), np.repeat(np.arange(len(streams)), sizes)
+        order, lcp = H.suffix_array(flat, end)
+        suffix = [flat[i : end[i]].tolist() for i in order.tolist()]
+        assert suffix == sorted(suffix)
+        shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert lcp.tolist() == [shared(a, b) for a, b in zip(suffix, suffix[1:])]
+        for need, least in ((2, 3), (3, 6)):
+            want = [x for hit in plain_covered(streams, need, least) for x in hit]
+            assert H.covered(flat, page, end, np.full(len(flat), need), least).tolist() == want
+
+
+def plain_main(pages: list[str], least: int) -> list[str]:
+    found = [[x for x in H._main_role(p, H.blocks(p)) if x[0] != H.CHROME] for p in pages]
+    streams = [[0] + [t for _, text in f for t in [*text.lower().split(), 0]] for f in found]
+    once = [list(x) for x in dict.fromkeys(map(tuple, streams))]
+    half = max(H.ARTICLE_PAGES, -(-len(once) // 2))
+    hits = {need: dict(zip(map(tuple, once), plain_covered(once, need, least))) for need in (H.OPEN_PAGES, half)}
+    out = []
+    for f, x in zip(found, streams):
+        at, kept, lost, total = 1, [], 0, 0
+        for kind, text in f:
+            words = text.split()
+            hit = hits[H.OPEN_PAGES if kind == H.OPEN else half][tuple(x)][at : at + len(words)]
+            if kind == H.OPEN:
+                kept.append(" ".join(w for w, h in zip(words, hit) if not h))
+            else:
+                kept.append("" if all(hit) else text)
+                lost, total = lost + len(words) * all(hit), total + len(words)
+            at += len(words) + 1
+        kept = [t for t in kept if t]
+        out.append("\n".join(kept if kept and 2 * lost <= total else [t for _, t in f]))
+    return out
+
+
+def test_random_hosts_against_a_plain_version(spark):
+    """Open blocks and articles with passages that pages share; the suffix array changes what is kept."""
+    rng = random.Random(11)
+    said = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows, removed = [], 0
+    for h in range(6):
+        shared = [said(rng.randrange(1, 12)) for _ in range(6)]
+        for k in range(rng.choice([1, 4, 12])):
+            parts = [f"<p>{said(rng.randrange(3, 30))}</p>" for _ in range(4)] + [f"<p>{said(2)} {x}</p>" if rng.random() < 0.3 else f"<p>{x}</p>" for x in shared if rng.random() < 0.7]
+            rng.shuffle(parts)
+            body = "".join(parts)
+            rows.append((f"http://h{h}.example/{k}", f"<body>{body}</body>" if h % 2 else f"<nav>menu</nav><article>{body}</article>"))
+    rows += rows[3:6]
+    got = {r.page_id: r.text for r in H.op9_html(pages(spark, rows)).collect()}
+    for h in range(6):
+        ids = [i for i, (u, _) in enumerate(rows) if u.startswith(f"http://h{h}.")]
+        assert [got[i] for i in ids] == plain_main([rows[i][1] for i in ids], H.LEAST)
+    off = {r.page_id: r.text for r in H.main_text(pages(spark, rows), least=10**6).collect()}
+    changed = [len(rows) > i and "article" in rows[i][1] for i in got if got[i] != off[i]]
+    assert any(changed) and not all(changed)
+
+
+def test_a_large_host_is_dealt_into_parts(spark):
+    """Repeats count within a part; what most pages share goes in every part, and equal pages meet."""
+    rng = random.Random(12)
+    own = [" ".join(f"u{i}_{rng.randrange(9999)}" for _ in range(30)) for i in range(60)]
+    rows = [(None if i % 2 else "https://big.example/x", f"<div>Welcome to our great site today</div><p>{t}</p>") for i, t in enumerate(own)]
+    got = {r.page_id: r.text for r in H.main_text(pages(spark, rows), part_bytes=3000).collect()}
+    assert [got[i] for i in range(60)] == own
+    words = " ".join(f"long{i}" for i in range(100_000))  # a very long page
+    (r,) = H.op9_html(pages(spark, [("http://l.example/", f"<p>{words}</p>")])).collect()
+    assert r.text == words
+
+
 SEEDS = {"en": "the of and that with for was this from have which", "de": "der die und nicht mit ein auf für sich über ist", "fr": "le la les des est que pour dans une avec qui", "es": "el los las del que por una con para más está"}
 
 

@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,35 +127,23 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on at most sample rows of each language that are not held out; the rows come to the driver one language at a time.
+    """Train on at most sample rows of each language that are not held out.
 
-    The sample is the rows with the least hash of doc_id, so it doesn't depend on how the table is partitioned. The
-    number of languages is small and bounded by the label set. Rows whose lang or text is null, or without letters, don't train.
+    The sample is the rows with the least hash of doc_id and text, so it doesn't depend on how the table is partitioned. Every task
+    passes on at most sample rows of a language (the window's limit works before the shuffle), and the driver gets the features of
+    the sample only, whatever the corpus. The number of languages is bounded by the label set. Rows whose lang or text is
+    null, or without letters, don't train; an empty table gives a model that names no language.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    light = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("at"))
-    total = light.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("at", F.array(*[F.lit(x) for x in (0.0001, 0.001, 0.01, 0.1, 0.5)]), 10000).alias("cuts")).collect()
-    shares = (0.0001, 0.001, 0.01, 0.1, 0.5)
-    least, texts = {}, []
-    for r in total:  # a threshold that leaves a little more than the sample
-        cut = next((c for s, c in zip(shares, r["cuts"]) if s * r["n"] > 2 * sample), None)
-        least[r["lang"]] = 2**63 - 1 if cut is None else cut
-    if least:
-        cuts = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        few = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col).cast("string")).alias("at"))
-        few = few.where(F.col("at") <= F.element_at(cuts, F.col("lang")))
-        kept: dict[str, list[tuple[int, str]]] = {}
-        light_few = few.select("lang", "at").orderBy("lang", "at")
-        bound: dict[str, list[int]] = {}
-        for r in light_few.toLocalIterator():
-            bound.setdefault(r["lang"], [])
-            if len(bound[r["lang"]]) < sample:
-                bound[r["lang"]].append(r["at"])
-        last = {lang: at[-1] for lang, at in bound.items()}
-        ends = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
-        for r in few.where(F.col("at") <= F.element_at(ends, F.col("lang"))).mapInArrow(_sample_features, "lang string, at long, x binary").collect():
-            kept.setdefault(r["lang"], []).append((r["at"], r["x"]))
-        texts = [(lang, x) for lang in sorted(kept) for _, x in sorted(kept[lang])[:sample]]
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("at"), F.col(text_col).alias("body"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    ends = rows.select("lang", "at").withColumn("n", first).where(F.col("n") <= sample).groupBy("lang").agg(F.max("at").alias("last")).collect()
+    texts = []
+    if ends:
+        last = F.create_map(*[F.lit(x) for r in ends for x in (r["lang"], r["last"])])
+        few = rows.where(F.col("at") <= F.element_at(last, F.col("lang"))).select("lang", "body", "at").mapInArrow(_sample_features, "lang string, at long, x binary")
+        kept = few.withColumn("n", first).where(F.col("n") <= sample).select("lang", "at", "x").collect()  # equal rows may be more than the sample
+        texts = [(r["lang"], r["x"]) for r in sorted(kept, key=lambda r: (r["lang"], r["at"]))]
     x = np.array([np.frombuffer(b, np.float32) for _, b in texts]).reshape(len(texts), WIDTH)
     return Model(x, [lang for lang, _ in texts])
 

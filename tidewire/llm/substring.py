@@ -1,11 +1,13 @@
 """Substring dedup: remove words covered by windows of words that occur more than once in the corpus.
 
-First pass: each window is counted under its anchor, the run of ANCHOR words with the least hash inside it (equal windows
-have equal anchors at equal places). The count of an anchor's cell is a count-min estimate: it is never below the count of any
-of its windows. The partial sketches of the tasks are sparse rows (cell, count) that Spark merges, so
-the sketch grows with the corpus without a broadcast. Second pass: only windows whose anchor's cell counts two or more
-are grouped exactly, by a digest of their words. Both passes send back what turned out single: it is found without
-joining the counts to their members, so a passage in a third of all documents is no hot key.
+First pass: a count-min sketch of ROWS rows of counters. A window is counted under its anchor, the run of ANCHOR words with the
+least hash inside it (equal windows have equal anchors at equal places), once for all windows of a stretch that share the anchor's
+place; so a counter is never below the count of any window of its anchors, and a window's estimate is the least of its ROWS
+counters. Each task counts its part (Spark's partial aggregation), the parts are merged by cell, and the cells lie spread over the
+executors: the width of a row follows the corpus, and nothing of it is broadcast. Second pass: only windows whose estimate is two
+or more are grouped exactly, by a digest of their words. Both passes send back what turned out single: a counter of one names
+its only stretch, so it is found without joining the counts to their members, and a passage in a third of all documents is no
+hot key.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, staged, utf8
 
-#: Words in a window; words in an anchor; cells of the sketch.
-WINDOW, ANCHOR, CELLS = 35, 8, 1 << 44
+#: Words in a window; words in an anchor; rows of the sketch; bytes of text for each cell of a row (a stretch of windows takes
+#: about 60 bytes of text, so a tenth of the cells or less are taken and two rows agree by chance for one stretch in a hundred).
+WINDOW, ANCHOR, ROWS, CELL_BYTES = 35, 8, 2, 4
 #: Bytes of text hashed at once, and documents named by one row for a run of equal texts.
 CHUNK, NAMED = 1 << 20, 1000
 _B1, _B2, _B3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -83,13 +86,18 @@ def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return (at & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, first window, windows) for each stretch of windows that share an anchor place. h: word hashes of one text."""
+def anchors(h: np.ndarray, window: int, width: int = 1 << 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, first window, windows) for each stretch of windows that share an anchor place. h: word hashes of one text.
+
+    cells: one of width cells in each row of the sketch, numbered row after row.
+    """
     grams = _stir(_rolling(h, ANCHOR, _B1, _I1))
     at = [_leftmost_least(grams[s : s + (1 << 23) + window - ANCHOR], window - ANCHOR + 1) + s for s in range(0, max(1, len(h) - window + 1), 1 << 23)]
     at = at[0] if len(at) == 1 else np.concatenate(at)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return (grams[at[first]] % np.uint64(CELLS)).view(np.int64), first, np.diff(np.concatenate([first, [len(at)]]))
+    held = grams[at[first]]
+    cells = [(_stir(held + np.uint64(_B2 * r % 2**64)) % np.uint64(width) + np.uint64(r * width)).view(np.int64) for r in range(ROWS)]
+    return np.stack(cells), first, np.diff(np.concatenate([first, [len(at)]]))
 
 
 def _places(spans: list[int]) -> np.ndarray:
@@ -110,30 +118,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         raise ValueError(f"a window needs over {ANCHOR} words")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("body"))
-    rows = rows.select("doc_id", F.xxhash64("body").alias("row"), "body")
+    # a text is told by 96 bits of hashes
+    rows = rows.select("doc_id", F.xxhash64("body").alias("row"), F.shiftright(F.xxhash64(F.lit(7), "body"), 32).cast("int").alias("row2"), "body")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")).first()["bytes"]
+    width = 1 << max(16, (size // CELL_BYTES).bit_length())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body", CHUNK):
-            hashed = zip(b.column(0).to_pylist(), word_hashes(b.column(1).to_pylist()))
-            got = [(row, *anchors(h, window)) for row, h in hashed if len(h) >= window]
+            hashed = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(2).to_pylist()))
+            got = [(row, row2, *anchors(h, window, width)) for row, row2, h in hashed if len(h) >= window]
             if got:
-                row_of = np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])
-                cells, firsts = (np.concatenate([g[i] for g in got]) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(row_of), pa.array(firsts.astype(np.int32))], names=["cell", "row", "first"])
-
-    counted = rows.select("row", "body").mapInArrow(sketch, "cell long, row long, first int")
-    merged = counted.groupBy("cell").agg(F.count("*").alias("estimate"), F.min("row").alias("row"), F.min("first").alias("first"))
-    single = merged.where("estimate = 1").groupBy("row").agg(F.collect_list("first").alias("single"))
+                n = [len(g[3]) for g in got]
+                row_of, row2_of = np.repeat(np.array([g[0] for g in got], np.int64), n), np.repeat(np.array([g[1] for g in got], np.int32), n)
+                cells, firsts = np.concatenate([g[2] for g in got], axis=1), np.concatenate([g[3] for g in got]).astype(np.int32)
+                for line in cells:
+                    yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(row_of), pa.array(row2_of), pa.array(firsts)], names=["cell", "row", "row2", "first"])
+
+    counted = rows.select("row", "row2", "body").mapInArrow(sketch, "cell long, row long, row2 int, first int")
+    # a counter of one was raised by one stretch, and the least values are that stretch's own
+    merged = counted.groupBy("cell").agg(F.count("*").alias("counter"), F.min("row").alias("row"), F.min("row2").alias("row2"), F.min("first").alias("first"))
+    # the estimate is the least counter: one counter of one is enough
+    single = merged.where("counter = 1").groupBy("row", "row2").agg(F.collect_set("first").alias("single"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body", CHUNK):
-            docs_of, row_of, texts, ones_of = [], [], [], []
-            for doc, row, text, ones in zip(*(b.column(i).to_pylist() for i in range(4))):
+            docs_of, row_of, row2_of, texts, ones_of = [], [], [], [], []
+            for doc, row, row2, text, ones in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if row_of and row_of[-1] == row and texts[-1] == text and len(docs_of[-1]) < NAMED:
                     docs_of[-1].append(doc)
                     continue
                 docs_of.append([doc])
                 row_of.append(row)
+                row2_of.append(row2)
                 texts.append(text)
                 ones_of.append(ones)
             n, shas, bodies, spans = [], [], [], []
@@ -147,26 +163,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 spans.append(left)
                 bodies.append(text if left else None)
                 shas.append(None if left else hashlib.sha256(b" ".join(text.split())).hexdigest())
-            cols = [pa.array(docs_of, _docs_type(b)), pa.array(row_of, pa.int64()), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(bodies, pa.binary()), pa.array(spans, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["docs", "row", "n_words", "sha", "body", "spans"])
+            cols = [pa.array(docs_of, _docs_type(b)), pa.array(row_of, pa.int64()), pa.array(row2_of, pa.int32()), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(bodies, pa.binary()), pa.array(spans, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["docs", "row", "row2", "n_words", "sha", "body", "spans"])
 
-    judged = rows.join(single, "row", "left").select("doc_id", "row", "body", "single").sortWithinPartitions("row")
-    judged = staged(judged.mapInArrow(candidates, f"docs array<{kind}>, row long, n_words long, sha string, body binary, spans array<int>"), "windows")
-    open_rows = judged.where("body is not null").select("docs", "row", "body", "spans")
+    judged = rows.join(single, ["row", "row2"], "left").select("doc_id", "row", "row2", "body", "single").sortWithinPartitions("row")
+    judged = staged(judged.mapInArrow(candidates, f"docs array<{kind}>, row long, row2 int, n_words long, sha string, body binary, spans array<int>"), "windows")
+    open_rows = judged.where("body is not null").select("docs", "row", "row2", "body", "spans")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body", CHUNK // 2):
             parts = []
-            for row, copies, h, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(2).to_pylist()), b.column(3).to_pylist()):
+            for row, row2, copies, h, spans in zip(*(b.column(i).to_pylist() for i in range(3)), word_hashes(b.column(3).to_pylist()), b.column(4).to_pylist()):
                 at = _places(spans)
                 one, two = _rolling(h, window, _B1, _I1)[at], _rolling(_stir(h), window, _B2, _I2)[at] >> np.uint64(32)
-                parts.append((one.view(np.int64), two.astype(np.uint32).view(np.int32), np.full(len(at), row, np.int64), (at if copies == 1 else ~at).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["one", "two", "row", "place"])
+                parts.append((one.view(np.int64), two.astype(np.uint32).view(np.int32), np.full(len(at), row, np.int64), np.full(len(at), row2, np.int32), (at if copies == 1 else ~at).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["one", "two", "row", "row2", "place"])
 
     # a negative place stands for a text with copies: its windows count twice
-    windows = open_rows.select("row", F.size("docs").alias("copies"), "body", "spans").mapInArrow(digests, "one long, two int, row long, place int")
-    exact = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("place").alias("place"))
-    alone = exact.where("n = 1 and place >= 0").groupBy("row").agg(F.collect_list("place").alias("alone"))
+    windows = open_rows.select("row", "row2", F.size("docs").alias("copies"), "body", "spans").mapInArrow(digests, "one long, two int, row long, row2 int, place int")
+    exact = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("row2").alias("row2"), F.min("place").alias("place"))
+    alone = exact.where("n = 1 and place >= 0").groupBy("row", "row2").agg(F.collect_list("place").alias("alone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
@@ -190,7 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     text_kind = ", kept_text string" if with_text else ""
-    ended = open_rows.join(alone, "row", "left").select("docs", "body", "spans", "alone")
+    ended = open_rows.join(alone, ["row", "row2"], "left").select("docs", "body", "spans", "alone")
     ended = ended.mapInArrow(cut, f"docs array<{kind}>, n_words long, n_removed long, kept_sha256 string{text_kind}")
     clean = judged.where("body is null").select("docs", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     if with_text:
