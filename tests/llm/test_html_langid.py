@@ -79,7 +79,7 @@ def test_suffix_array_and_cover_against_plain_versions():
         assert lcp.tolist() == [shared(a, b) for a, b in zip(suffix, suffix[1:])]
         for need, least in ((2, 3), (3, 6)):
             want = [x for hit in plain_covered(streams, need, least) for x in hit]
-            assert H.covered(flat, page, end, np.full(len(flat), need), least).tolist() == want
+            assert [x.tolist() for x in H.covered(flat, page, end, [need], least)] == [want]
 
 
 def plain_main(pages: list[str], least: int) -> list[str]:
