@@ -100,7 +100,18 @@ def test_category_cap_and_boost(spark):
     add = lambda w: lambda d: signals.signal(d, "RANK", "X", "x", weight=w)
     assert candidates.rank(e, signals.collect(e, [add(10)] * 5)).first().final_rank == 80.0
     bad = lambda d: d.select("no_such_column")
-    assert candidates.rank(e, signals.collect(e, [bad, add(-40)])).first().final_rank == 10.0
+    with pytest.raises(Exception, match="no_such_column"):
+        signals.collect(e, [bad, add(-40)])
+    got, failed = signals.collect_isolated(e, [bad, add(-40)])
+    assert candidates.rank(e, got).first().final_rank == 10.0
+    assert [(r.rule_no, "no_such_column" in r.reason) for r in failed.collect()] == [(0, True)]
+
+
+def test_uncapped_is_what_the_cap_leaves(spark):
+    e = events(spark, *[{"rank_total": float(i % 9), "event_type": "acquisition" if i % 5 == 0 else None} for i in range(40)])
+    ranked = candidates.rank(e, signals.collect(e, [signals.breaking]))
+    left = signals.uncapped(ranked.drop("capped"))
+    assert sorted(r.ord for r in left.collect()) == sorted(r.ord for r in ranked.where("not capped").collect())
 
 
 def test_pool_sizes(spark):

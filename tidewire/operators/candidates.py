@@ -11,23 +11,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LANES, Editorial, Lane
-from .signals import category_cap, resolve
+from ..staging import staged
+from .signals import category_cap, resolve, uncapped
 
 
 def rank(events: DataFrame, signals: DataFrame, cfg: Editorial = Editorial(), scope: Sequence[str] = ()) -> DataFrame:
     """events that aren't held, with breaking, boost, final_rank, context_hints, signals and capped."""
+    return category_cap(_ranked(events, signals, cfg), cfg, scope)
+
+
+def _ranked(events: DataFrame, signals: DataFrame, cfg: Editorial) -> DataFrame:
     got = resolve(signals, cfg)
     rows = events.join(got, F.col("id").cast("string") == F.col("event_id"), "left").drop("event_id")
     rows = rows.withColumns({"breaking": F.coalesce("breaking", F.lit(False)), "held": F.coalesce("held", F.lit(False)), "boost": F.coalesce("boost", F.lit(0))}).where("not held").drop("held")
     rows = rows.withColumn("final_rank", F.coalesce(F.col("rank_total").cast("double"), F.lit(0.0)) + F.col("boost"))
-    return category_cap(rows.withColumn("context_hints", F.coalesce("hints", F.array().cast("array<string>"))).drop("hints"), cfg, scope)
+    return rows.withColumn("context_hints", F.coalesce("hints", F.array().cast("array<string>"))).drop("hints")
 
 
-def truncate(ranked: DataFrame, most: int | str, scope: Sequence[str] = ()) -> DataFrame:
-    """The first most uncapped rows of each scope by final_rank, with their place. most: a number or the name of a column."""
+def truncate(ranked: DataFrame, most: int | str, scope: Sequence[str] = (), bound: int | None = None) -> DataFrame:
+    """The first most uncapped rows of each scope by final_rank, with their place. most: a number or the name of a column.
+
+    bound, the largest value of that column, is a literal limit: with it every task keeps its own first rows before the shuffle.
+    """
     limit = F.col(most) if isinstance(most, str) else F.lit(most)
     place = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("final_rank"), "ord"))
-    return ranked.where("not capped").withColumn("place", place).where(F.col("place") <= limit)
+    rows = ranked.where("not capped").withColumn("place", place)
+    return (rows if bound is None else rows.where(F.col("place") <= bound)).where(F.col("place") <= limit)
 
 
 def build(events: DataFrame, signals: DataFrame, cfg: Editorial = Editorial()) -> DataFrame:
@@ -53,8 +62,10 @@ def dispatch(events: DataFrame, lanes: Sequence[Lane] = LANES, domain: str = "do
 
 
 def run_lanes(events: DataFrame, signals: DataFrame, cfg: Editorial = Editorial()) -> DataFrame:
-    """Each lane's candidates: ranked, capped and truncated inside the lane."""
-    return truncate(rank(events, signals, cfg, ["lane"]), "lane_most", ["lane"])
+    """Each lane's candidates: ranked, capped and truncated inside the lane. Ranked rows are staged, as two branches read them."""
+    ranked = staged(_ranked(events, signals, cfg), "ranked")
+    bound = ranked.agg(F.max("lane_most").alias("most")).first()["most"]
+    return truncate(uncapped(ranked, cfg, ["lane"]), "lane_most", ["lane"], bound)
 
 
 def merge(candidates: DataFrame, most: int = 40, representation: bool = True, breaking_first: bool = True) -> DataFrame:

@@ -30,20 +30,31 @@ def signal(rows: DataFrame, phase: str, subtype: Column | str, source: str, weig
 
 
 def collect(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The signals of all rules. A rule that can't be built on these events is left out and named in the log."""
-    import logging
+    """The signals of all rules. A rule that can't be built on these events raises; collect_isolated leaves it out.
 
+    Every rule reads events: stage them first (staging.staged) where making them is dear.
+    """
     out = None
     for no, rule in enumerate(rules):
-        try:
-            got = rule(events).withColumn("rule_no", F.lit(no))
-        except Exception as e:  # noqa: BLE001  one rule's failure must not stop the others
-            logging.getLogger(__name__).warning("rule %s failed: %s", getattr(rule, "__name__", rule), e)
-            continue
+        got = rule(events).withColumn("rule_no", F.lit(no))
         out = got if out is None else out.unionByName(got)
     return out if out is not None else events.sparkSession.createDataFrame([], SIGNAL)
 
 
+def collect_isolated(events: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(signals, failures): the signals of the rules that can be built, and rule_no, rule, reason of each other one."""
+    built, failed = [], []
+    for no, rule in enumerate(rules):
+        try:
+            built.append(rule(events).withColumn("rule_no", F.lit(no)))
+        except Exception as e:  # noqa: BLE001  what went wrong is a row of the result
+            failed.append((no, getattr(rule, "__name__", str(rule)), f"{type(e).__name__}: {e}"))
+    out = events.sparkSession.createDataFrame([], SIGNAL) if not built else built[0]
+    for got in built[1:]:
+        out = out.unionByName(got)
+    return out, events.sparkSession.createDataFrame(failed, "rule_no int, rule string, reason string")
+
+
 def entity_counts(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope..., entity, n): how many events of the batch name an entity."""
     return events.select(*scope, F.explode("entities").alias("entity")).groupBy(*scope, "entity").agg(F.count("*").alias("n"))
@@ -187,8 +198,21 @@ def summary(signals: DataFrame) -> DataFrame:
     return signals.groupBy("phase", "subtype").agg(F.count("*").alias("signals"))
 
 
+def _category(scope: Sequence[str]) -> list:
+    return [*scope, F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized"))]
+
+
 def category_cap(ranked: DataFrame, cfg: Editorial = Editorial(), scope: Sequence[str] = ()) -> DataFrame:
-    """ranked plus capped: beyond the first per_category rows of a category by final_rank that aren't breaking."""
-    category = F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized"))
-    place = F.row_number().over(Window.partitionBy(*scope, category, "breaking").orderBy(F.desc("final_rank"), "ord"))
+    """ranked plus capped: beyond the first per_category rows of a category by final_rank that aren't breaking. All rows stay; for pools see uncapped."""
+    place = F.row_number().over(Window.partitionBy(*_category(scope), "breaking").orderBy(F.desc("final_rank"), "ord"))
     return ranked.withColumn("capped", ~F.col("breaking") & (place > cfg.per_category))
+
+
+def uncapped(ranked: DataFrame, cfg: Editorial = Editorial(), scope: Sequence[str] = ()) -> DataFrame:
+    """The rows that category_cap leaves: breaking ones, and the first per_category others of each category.
+
+    The limit is a literal, so every task ranks and keeps its own first rows before the shuffle, and a hot category is no large task.
+    """
+    place = F.row_number().over(Window.partitionBy(*_category(scope)).orderBy(F.desc("final_rank"), "ord"))
+    first = ranked.where(~F.col("breaking")).withColumn("_place", place).where(F.col("_place") <= cfg.per_category).drop("_place")
+    return ranked.where("breaking").unionByName(first).withColumn("capped", F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Editorial
 from ..operators import candidates, filters, judgment, memory, signals
+from ..staging import staged
 from ..streaming import breaker
 from .tables import CFG, DAY, EVENTS, NEWS, SNAPSHOTS, STORIES, TIERS, as_of, day, events_of, query, snapshots, sql_list, stories, table
 
@@ -62,7 +63,7 @@ _HEAT = "greatest(" + ", ".join(f"CASE WHEN len(list_intersect(entities, {sql_li
 
 @query("q_signal_boost", f"WITH {STORIES}, {_FOLLOW}, {_SOURCE_CAP} SELECT e.id AS event_id, CAST(least(CASE source_tier WHEN 1 THEN 20 WHEN 2 THEN 15 ELSE 7 END + {_HEAT} + CASE WHEN div.id IS NOT NULL THEN -10 ELSE 0 END + CASE WHEN fol.subtype = 'FOLLOW_UP' THEN -10 ELSE 0 END, 30) AS BIGINT) AS boost FROM events_v e LEFT JOIN div USING (id) LEFT JOIN fol ON fol.id = e.id")
 def signal_boost(spark, sf):
-    e, s = events_of(spark, sf), stories(spark, sf).withColumn("entity", F.lit(None).cast("string"))
+    e, s = staged(events_of(spark, sf), "events"), stories(spark, sf).withColumn("entity", F.lit(None).cast("string"))
     rules = [lambda d: signals.authority(d, CFG), lambda d: signals.entity_heat(d, CFG), lambda d: signals.source_diversity(d, CFG), lambda d: signals.story_dedup(d, s, day(), NEWS)]
     return signals.resolve(signals.collect(e, rules), NEWS).select("event_id", F.col("boost").cast("bigint").alias("boost"))
 
@@ -86,13 +87,13 @@ _RANKED = _brk("category") + """, rk AS (SELECT e.*, brk.id IS NOT NULL AS break
 
 @query("q_category_cap", f"WITH {EVENTS}, {_RANKED} SELECT id, breaking, capped FROM cp")
 def category_cap(spark, sf):
-    e = events_of(spark, sf)
+    e = staged(events_of(spark, sf), "events")
     return candidates.rank(e, signals.collect(e, [lambda d: signals.breaking(d, NEWS, ["category"])]), NEWS).select("id", "breaking", "capped")
 
 
 @query("q_candidate_pool", f"WITH {EVENTS}, {_RANKED} SELECT id, final_rank FROM cp WHERE NOT capped ORDER BY final_rank DESC, ord LIMIT 40")
 def candidate_pool(spark, sf):
-    e = events_of(spark, sf)
+    e = staged(events_of(spark, sf), "events")
     return candidates.build(e, signals.collect(e, [lambda d: signals.breaking(d, NEWS, ["category"])]), NEWS).select("id", "final_rank")
 
 
@@ -111,7 +112,7 @@ _POOLS = f"""{_LANES}, {_brk('category')}, rk AS (SELECT d.*, b.id IS NOT NULL A
 
 
 def _pool(spark, sf):
-    e = candidates.dispatch(events_of(spark, sf))
+    e = staged(candidates.dispatch(events_of(spark, sf)), "events")
     return candidates.run_lanes(e, signals.collect(e, [lambda d: signals.breaking(d, NEWS, ["lane"])]), NEWS)
 
 
@@ -135,7 +136,7 @@ _JUDGED = f"""{_FOLLOW}, {_brk('category')}, jd AS (SELECT e.*, CASE WHEN e.ord
 
 
 def _judged(spark, sf):
-    e = events_of(spark, sf)
+    e = staged(events_of(spark, sf), "events")
     s = stories(spark, sf).withColumn("entity", F.lit(None).cast("string"))
     got = signals.collect(e, [lambda d: signals.breaking(d, NEWS, ["category"]), lambda d: signals.story_dedup(d, s, day(), NEWS)])
     earlier = e.where("ord % 11 = 0").select(F.col("id").alias("event_id"), F.lit("hard").alias("reject_type"), F.lit("off topic").alias("reason"), as_of().alias("rejected_at"))

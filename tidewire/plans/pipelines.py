@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Editorial, Scoring
 from ..functions.text import lower_text, title_keywords
 from ..functions.time import iso_week
+from ..staging import staged
 from ..operators import candidates, cluster, dedup, filters, lineage, normalize, scoring, signals, weekly
 
 
@@ -43,7 +44,7 @@ def ingest(items: DataFrame, stored: DataFrame, as_of: Column, cfg: Scoring = Sc
 
 def editorial(events: DataFrame, snapshots: DataFrame | None, stories: DataFrame | None, day: Column, cfg: Editorial = Editorial(), most: int = 40) -> DataFrame:
     """Events (with domain) to the merged pool: dispatch to lanes, signals inside lanes, candidates, merge."""
-    rows = candidates.dispatch(events)
+    rows = staged(candidates.dispatch(events), "lanes")  # every rule reads them
     rules = [lambda e: signals.breaking(e, cfg, ["lane"])]
     if snapshots is not None:
         rules.append(lambda e: signals.memory(e, snapshots, day, cfg))

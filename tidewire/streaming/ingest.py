@@ -18,18 +18,25 @@ Normalizer = Callable[[DataFrame], DataFrame]
 def ingest(stream: DataFrame, events_path: str, entities_path: str, checkpoint: str, prepare: Normalizer = lambda df: df, once: bool = False) -> StreamingQuery:
     """Write a stream of events so that each id and each content_hash is stored once, whatever is replayed.
 
-    Each micro-batch is compared with the stored keys, so a batch that runs again after a failure inserts nothing twice. Tables are
-    partitioned by day. prepare turns raw rows into events (id, content_hash, entities, effective_at, ord and more).
+    A batch is compared with the keys that earlier batches stored, so one that runs again finds the same new events; rows that its
+    first run already wrote, in either table, are left out. A failure between the two tables loses nothing. Both have the
+    batch's number. Tables are partitioned by day. prepare turns raw rows into events (id, content_hash, entities,
+    effective_at, ord and more).
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         new = prepare(df).withColumn("day", F.coalesce(F.col("effective_at").cast("date"), F.lit("1970-01-01").cast("date")))
-        keys = read_table(spark, events_path, new.schema).select("id", "content_hash")
+        new = new.withColumn("batch", F.lit(number).cast("long"))
+        stored = read_table(spark, events_path, new.schema)
+        own = F.coalesce(F.col("batch") == number, F.lit(False)) if "batch" in stored.columns else F.lit(False)
         # written first: a cached result would be dropped when the table that it read is appended to
-        fresh = staged(insert_if_absent(keys, new), "fresh")
-        append(fresh, events_path, "day")
-        append(bridge(fresh, "entities", "entity").withColumn("batch", F.lit(number)), entities_path)
+        fresh = staged(insert_if_absent(stored.where(~own).select("id", "content_hash"), new), "fresh")
+        append(fresh.join(staged(stored.where(own).select("id"), "ids"), "id", "left_anti").select(*fresh.columns), events_path, "day")
+        links = bridge(fresh, "entities", "entity").withColumn("batch", F.lit(number).cast("long"))
+        there = read_table(spark, entities_path, links.schema)
+        keys = [c for c in links.columns if c != "batch"]
+        append(links.join(staged(there.where(F.col("batch") == number).select(*keys), "links"), keys, "left_anti").select(*links.columns), entities_path)
         unstage(fresh)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
