@@ -17,7 +17,7 @@ from .signals import category_cap, resolve, uncapped
 
 def rank(events: DataFrame, signals: DataFrame, cfg: Editorial = Editorial(), scope: Sequence[str] = ()) -> DataFrame:
     """events that aren't held, with breaking, boost, final_rank, context_hints, signals and capped."""
-    return category_cap(_ranked(events, signals, cfg), cfg, scope)
+    return category_cap(staged(_ranked(events, signals, cfg), "ranked"), cfg, scope)
 
 
 def _ranked(events: DataFrame, signals: DataFrame, cfg: Editorial) -> DataFrame:
@@ -41,8 +41,8 @@ def truncate(ranked: DataFrame, most: int | str, scope: Sequence[str] = (), boun
 
 def build(events: DataFrame, signals: DataFrame, cfg: Editorial = Editorial()) -> DataFrame:
     """One pool of at most pool_size candidates. Its ordering needs only the pool: Spark takes the top rows of each partition first."""
-    ranked = rank(events, signals, cfg)
-    return ranked.where("not capped").orderBy(F.desc("final_rank"), "ord").limit(cfg.pool_size)
+    ranked = uncapped(staged(_ranked(events, signals, cfg), "ranked"), cfg)
+    return ranked.orderBy(F.desc("final_rank"), "ord").limit(cfg.pool_size)
 
 
 def lane_table(spark, lanes: Sequence[Lane] = LANES) -> DataFrame:

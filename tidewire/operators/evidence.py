@@ -12,13 +12,18 @@ DROPPED = ["script", "style", "nav", "header", "footer", "aside", "form", "ifram
 PAYWALL = r"(?i)(class|id)\s*=\s*[\"'][^\"']*(paywall|subscribe-wall|premium-content|meter-wall|regwall)"
 
 
+def _alone(pattern: str) -> str:
+    """pattern between ASCII word boundaries; Java's own boundary counts other letters."""
+    return rf"(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])"
+
+
 def keywords(title: Column, summary: Column, names: Column, most: int = 15) -> Column:
     """Capitalised words, acronyms, entities, and non-ASCII phrases that hold an entity; distinct, longest first."""
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))
     find = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     names = F.coalesce(names, F.array().cast("array<string>"))
     phrases = F.filter(find(r"[^\x00-\x7F]{2,10}"), lambda p: F.exists(names, lambda n: F.contains(p, n)))
-    every = F.array_distinct(F.concat(find(r"\b[A-Z][a-z]{2,}\b"), find(r"\b[A-Z]{2,5}\b"), names, phrases))
+    every = F.array_distinct(F.concat(find(_alone("[A-Z][a-z]{2,}")), find(_alone("[A-Z]{2,5}")), names, phrases))
     keyed = F.array_sort(F.transform(every, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return F.slice(F.transform(keyed, lambda x: x["w"]), 1, most)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HOT_TOPICS, MODEL_NAMES, SOTA_WORDS, EntityTier, EventType, Scoring
 from ..functions.text import has_any, lower_text, matched
 from ..functions.time import hours_between
+from .caps import past_cap
 
 
 def entities(text: Column, tiers: tuple[EntityTier, ...]) -> Column:
@@ -107,17 +108,14 @@ def score(assets: DataFrame, as_of: Column, cfg: Scoring = Scoring()) -> DataFra
 
 
 def cap_sources(scored: DataFrame, cfg: Scoring = Scoring(), id_order: str = "ord") -> DataFrame:
-    """tier_label becomes 'skip' beyond a source's cap, by descending score; rows that were skipped don't count.
-
-    The window ranks inside (source, counted), so a hot source is one sort of its own rows and no more.
-    """
+    """tier_label becomes 'skip' beyond a source's cap, by descending score, then id_order (unique); rows that were skipped don't count."""
     source = F.coalesce(F.nullif(F.col("source_id"), F.lit("")), F.nullif(F.col("source.name"), F.lit("")) if "source" in scored.columns else F.lit(None), F.lit("unknown"))
     cap = F.lit(cfg.default_cap)
     for name, n in cfg.source_caps.items():
         cap = F.when(source == name, n).otherwise(cap)
-    counted = F.col("tier_label").isin("auto", "review")
-    place = F.row_number().over(Window.partitionBy(source, counted).orderBy(F.desc("total_score"), F.col(id_order)))
-    return scored.withColumn("place", place).withColumn("tier_label", F.when(counted & (F.col("place") > cap), "skip").otherwise(F.col("tier_label"))).drop("place")
+    most = max(cfg.default_cap, *cfg.source_caps.values()) if cfg.source_caps else cfg.default_cap
+    rows = past_cap(scored, {"source": source}, "total_score", id_order, cap, most, F.col("tier_label").isin("auto", "review"))
+    return rows.withColumn("tier_label", F.when(F.col("past_cap"), "skip").otherwise(F.col("tier_label"))).drop("past_cap")
 
 
 def tier_counts(scored: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Editorial, Scoring
 from ..functions.text import url_host
 from ..functions.time import hours_between
+from .caps import past_cap
 from .filters import relevance_reason, story_signal
 
 SIGNAL = "event_id string, phase string, subtype string, weight int, source string, reason string, entity string, recent_days int, rule_no int, ord bigint"
@@ -204,8 +205,8 @@ def _category(scope: Sequence[str]) -> list:
 
 def category_cap(ranked: DataFrame, cfg: Editorial = Editorial(), scope: Sequence[str] = ()) -> DataFrame:
     """ranked plus capped: beyond the first per_category rows of a category by final_rank that aren't breaking. All rows stay; for pools see uncapped."""
-    place = F.row_number().over(Window.partitionBy(*_category(scope), "breaking").orderBy(F.desc("final_rank"), "ord"))
-    return ranked.withColumn("capped", ~F.col("breaking") & (place > cfg.per_category))
+    keys = {str(i): F.col(c) if isinstance(c, str) else c for i, c in enumerate(_category(scope))}
+    return past_cap(ranked, keys, "final_rank", "ord", F.lit(cfg.per_category), cfg.per_category, ~F.col("breaking")).withColumnRenamed("past_cap", "capped")
 
 
 def uncapped(ranked: DataFrame, cfg: Editorial = Editorial(), scope: Sequence[str] = ()) -> DataFrame:

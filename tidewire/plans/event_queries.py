@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import PUBLISHERS
+from ..config import PUBLISHERS, STOP_WORDS, Scoring
 from ..functions import text
 from ..operators import cluster, dedup, evidence, lineage, readmodels, reports, scoring, weekly
-from .tables import ASSETS, EVENTS, as_of, assets, events_of, query, table
+from .tables import ASSETS, EVENTS, as_of, assets, events_of, query, sql_list, table
 
 _TEXTS = "d AS (SELECT doc_id AS id, doc_id AS ord, sha256(text) AS content_hash, source FROM documents)"
 
@@ -94,12 +94,45 @@ def overlap_dedup(spark, sf):
     return dedup.against_history(rows.where("ord % 4 = 0"), rows.where("ord % 4 <> 0"), threshold=0.8).select("ord", "removed_by", F.coalesce("repeats", F.lit(-1)).alias("repeats"))
 
 
-@query("q_title_keywords")
+_MARKS, _CJK = text.TITLE_MARKS.replace("'", "''"), r"[^\x{4e00}-\x{9fff}]"
+
+
+def _in_order(items: str) -> str:
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+def _found(gap: str) -> str:
+    latin = f"list_transform(regexp_extract_all(regexp_replace(title, '{_MARKS}', '{gap}', 'g'), '{text.LATIN_WORD}'), lambda w: lower(w))"
+    return f"{latin} || list_transform(range(1, length(regexp_replace(title, '{_CJK}', '', 'g'))), lambda j: substring(regexp_replace(title, '{_CJK}', '', 'g'), j, 2))"
+
+
+_FOUND = f"found AS (SELECT *, {_found('')} AS g, {_found(' ')} AS s FROM assets), kw AS (SELECT *, {_in_order('g')} AS glued, {_in_order('s')} AS words FROM found)"
+
+
+@query("q_title_keywords", f"WITH {ASSETS}, {_FOUND} SELECT id, array_to_string(glued, ',') AS glued, array_to_string(words, ',') AS words FROM kw")
 def title_keywords(spark, sf):
     return assets(spark, sf).select("id", F.array_join(text.title_keywords(F.col("title")), ",").alias("glued"), F.array_join(text.title_keywords(F.col("title"), split_words=True), ",").alias("words"))
 
 
-@query("q_fingerprint_groups")
+def _kind(k) -> str:
+    """Whether a title is of a type. DuckDB's patterns have no look-around; a neighbour that is no word character says the same."""
+    words = f"len(list_filter({sql_list(k.keywords)}, lambda t: contains(lower(title), lower(t)))) > 0"
+    if not k.pattern:
+        return words
+    pattern = k.pattern.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])")
+    return f"{words} OR regexp_matches(title, '{pattern}')"
+
+
+_DEFAULT = Scoring()
+_PRINT = f"""fp AS (
+    SELECT list_sort(list_distinct(list_filter({sql_list(e for t in _DEFAULT.entity_tiers for e in t.entities)}, lambda t: contains(lower(title), lower(t))))) AS names,
+        CASE {" ".join(f"WHEN {_kind(k)} THEN '{k.name}'" for k in sorted(_DEFAULT.event_types, key=lambda k: -k.score))} ELSE 'general' END AS kind,
+        list_filter(glued, lambda w: NOT list_contains({sql_list(STOP_WORDS)}, w) AND length(w) > 1)[1:3] AS first,
+        coalesce(year(published_at) || '-W' || lpad(CAST(CAST(ceil(dayofyear(published_at) / 7) AS INTEGER) AS VARCHAR), 2, '0'), 'unknown') AS week
+    FROM kw)"""
+
+
+@query("q_fingerprint_groups", f"WITH {ASSETS}, {_FOUND}, {_PRINT} SELECT CASE WHEN len(names) > 0 THEN array_to_string(names, '+') ELSE 'unknown' END || '|' || kind || '|' || array_to_string(first, ',') || '|' || week AS fingerprint, count(*) AS n FROM fp GROUP BY 1")
 def fingerprint_groups(spark, sf):
     return assets(spark, sf).groupBy(cluster.event_fingerprint(F.col("title"), F.col("published_at")).alias("fingerprint")).agg(F.count("*").alias("n"))
 
@@ -115,7 +148,16 @@ def _clusterable(spark, sf):
     return e.select(F.col("ord").alias("id"), "ord", "title", "entities", F.lit(None).cast("string").alias("fingerprint"), F.coalesce(F.date_format("effective_at", "yyyy-MM-dd"), F.lit("none")).alias("week"))
 
 
-@query("q_cluster_documents")
+_SETS = "sets AS (SELECT ord AS id, list_distinct(list_transform(entities, lambda e: lower(e))) AS names, list_distinct(list_transform(range(1, length(title)), lambda i: substring(lower(title), i, 2))) AS p FROM events_v)"
+_LINKS = (
+    "links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id = b.id OR (len(a.names) > 0 AND len(b.names) > 0 AND len(list_intersect(a.names, b.names)) >= 0.5 * len(list_distinct(a.names || b.names)))"
+    " OR (len(a.p) > 0 AND len(b.p) > 0 AND least(len(a.p), len(b.p)) >= 0.7 * greatest(len(a.p), len(b.p)) AND len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p)) >= 0.7))"
+)
+#: The least id that is reached within 60 links, more than the chains of the test tables have.
+_LEAST = "least_id AS (SELECT id, id AS cluster_id, 0 AS step FROM sets UNION ALL SELECT l.a, min(r.cluster_id), min(r.step) + 1 FROM least_id r JOIN links l ON l.b = r.id WHERE r.step < 60 GROUP BY l.a)"
+
+
+@query("q_cluster_documents", f"WITH RECURSIVE {EVENTS}, {_SETS}, {_LINKS}, {_LEAST} SELECT id, min(cluster_id) AS cluster_id FROM least_id GROUP BY id")
 def cluster_documents(spark, sf):
     return cluster.cluster(_clusterable(spark, sf))
 

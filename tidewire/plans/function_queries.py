@@ -123,7 +123,13 @@ def evidence_injection(spark, sf):
     return evidence.inject(p.select(F.col("page_id").alias("id"), "url"), claims).select("id", "claim")
 
 
-@query("q_evidence_keywords")
+_KEYWORDS = (
+    r"raw AS (SELECT id, entities, title || ' ' || summary AS raw FROM events_v), k AS (SELECT id, list_distinct(regexp_extract_all(raw, '\b[A-Z][a-z]{2,}\b') || regexp_extract_all(raw, '\b[A-Z]{2,5}\b') || entities"
+    r" || list_filter(regexp_extract_all(raw, '[^\x00-\x7F]{2,10}'), lambda p: len(list_filter(entities, lambda n: contains(p, n))) > 0)) AS w FROM raw)"
+)
+
+
+@query("q_evidence_keywords", f"WITH {EVENTS}, {_KEYWORDS} SELECT id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: {{'n': -length(x), 'w': x}})), lambda s: s.w)[1:15], ',') AS keywords FROM k")
 def evidence_keywords(spark, sf):
     return events_of(spark, sf).select("id", F.array_join(evidence.keywords(F.col("title"), F.col("summary"), F.col("entities")), ",").alias("keywords"))
 

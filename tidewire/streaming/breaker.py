@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 STATE = "state string, failures int, opened_at double, cooldown double"
 OUT = f"instance string, {STATE}"
 TRIP, BASE_MINUTES, MOST_MINUTES = 3, 10.0, 120.0
+#: The wait has long reached its most by then, and a float can still hold the power.
+LAST_DOUBLING = 60
 NEW = ("CLOSED", 0, 0.0, 0.0)
 
 
@@ -23,7 +25,7 @@ def step(state: tuple, at: float, ok: bool) -> tuple:
     failures += 1
     if failures < TRIP and name != "HALF_OPEN":
         return name, failures, opened, wait
-    return "OPEN", failures, at, 60 * min(BASE_MINUTES * 2 ** max(0, failures - TRIP), MOST_MINUTES)
+    return "OPEN", failures, at, 60 * min(BASE_MINUTES * 2.0 ** min(max(0, failures - TRIP), LAST_DOUBLING), MOST_MINUTES)
 
 
 def offered(state: tuple, at: float) -> tuple:
