@@ -193,18 +193,10 @@ def rejection_history(spark, sf):
 
 
 _OUTCOMES = "o AS (SELECT CAST(user_id % 13 AS VARCHAR) AS instance, epoch_us(ts) / 1e6 AS moment, coalesce(value > 40, false) AS ok, row_number() OVER (PARTITION BY user_id % 13 ORDER BY epoch_us(ts), event_id) AS n FROM events)"
-_STATES = """s AS (
-    SELECT DISTINCT instance, CAST(0 AS BIGINT) AS n, 'CLOSED' AS state, 0 AS failures, CAST(0 AS DOUBLE) AS opened_at, CAST(0 AS DOUBLE) AS cooldown FROM o
-    UNION ALL
-    SELECT instance, n, CASE WHEN ok THEN 'CLOSED' WHEN opens THEN 'OPEN' ELSE offered END, CASE WHEN ok THEN 0 ELSE failed END, CASE WHEN ok THEN 0 WHEN opens THEN moment ELSE opened_at END,
-        CASE WHEN ok THEN 0 WHEN opens THEN 60 * least(10 * 2.0 ** least(greatest(0, failed - 3), 60), 120) ELSE cooldown END
-    FROM (SELECT *, failed >= 3 OR offered = 'HALF_OPEN' AS opens FROM (
-        SELECT o.instance, o.n, o.moment, o.ok, s.failures + 1 AS failed, s.opened_at, s.cooldown, CASE WHEN s.state = 'OPEN' AND o.moment >= s.opened_at + s.cooldown THEN 'HALF_OPEN' ELSE s.state END AS offered
-        FROM s JOIN o ON o.instance = s.instance AND o.n = s.n + 1))
-)"""
-
-
-@query("q_breaker_states", f"WITH RECURSIVE {_OUTCOMES}, {_STATES} SELECT instance, state, failures, opened_at, cooldown FROM s QUALIFY row_number() OVER (PARTITION BY instance ORDER BY n DESC) = 1")
+_STREAKS = "k AS (SELECT instance, CAST(max(n) - coalesce(max(n) FILTER (ok), 0) AS INTEGER) AS failures, max(moment) AS moment FROM o GROUP BY instance)"
+
+
+@query("q_breaker_states", f"WITH {_OUTCOMES}, {_STREAKS} SELECT instance, CASE WHEN failures >= 3 THEN 'OPEN' ELSE 'CLOSED' END AS state, failures, CASE WHEN failures >= 3 THEN moment ELSE 0.0::DOUBLE END AS opened_at, CASE WHEN failures >= 3 THEN 60 * least(10 * 2.0::DOUBLE ** least(failures - 3, 60), 120) ELSE 0.0::DOUBLE END AS cooldown FROM k")
 def breaker_states(spark, sf):
     e = table(spark, sf, "events")
     return breaker.fold(e.select((F.col("user_id") % 13).cast("string").alias("instance"), "ts", F.when(F.col("value") > 40, "ok").otherwise("error").alias("outcome"), F.col("event_id").alias("ord")))

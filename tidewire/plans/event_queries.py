@@ -153,8 +153,8 @@ _LINKS = (
     "links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.id = b.id OR (len(a.names) > 0 AND len(b.names) > 0 AND len(list_intersect(a.names, b.names)) >= 0.5 * len(list_distinct(a.names || b.names)))"
     " OR (len(a.p) > 0 AND len(b.p) > 0 AND least(len(a.p), len(b.p)) >= 0.7 * greatest(len(a.p), len(b.p)) AND len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p)) >= 0.7))"
 )
-#: The least id that is reached within 60 links, more than the chains of the test tables have.
-_LEAST = "least_id AS (SELECT id, id AS cluster_id, 0 AS step FROM sets UNION ALL SELECT l.a, min(r.cluster_id), min(r.step) + 1 FROM least_id r JOIN links l ON l.b = r.id WHERE r.step < 60 GROUP BY l.a)"
+#: The least id that is reached within 25 links, more than the chains of the test tables have.
+_LEAST = "least_id AS (SELECT id, id AS cluster_id, 0 AS step FROM sets UNION ALL SELECT l.a, min(r.cluster_id), min(r.step) + 1 FROM least_id r JOIN links l ON l.b = r.id WHERE r.step < 25 GROUP BY l.a)"
 
 
 @query("q_cluster_documents", f"WITH RECURSIVE {EVENTS}, {_SETS}, {_LINKS}, {_LEAST} SELECT id, min(cluster_id) AS cluster_id FROM least_id GROUP BY id")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.time import cooldown_minutes
+
 STATE = "state string, failures int, opened_at double, cooldown double"
 OUT = f"instance string, {STATE}"
 TRIP, BASE_MINUTES, MOST_MINUTES = 3, 10.0, 120.0
@@ -37,17 +39,19 @@ def offered(state: tuple, at: float) -> tuple:
 def fold(outcomes: DataFrame) -> DataFrame:
     """(instance, state, failures, opened_at, cooldown) after all outcomes (instance, ts, outcome 'ok' or not, ord).
 
-    A group is one instance's outcomes; batch history of a pool of instances is small. For long histories use stream().
+    What step() gives in the end depends on the failures since the last success and on the last one's time only: a success closes,
+    and a half open breaker has failed often enough to open again. So two aggregates do, each partial in every task.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = NEW
-        for at, ok in pdf.sort_values(["at", "ord"])[["at", "ok"]].itertuples(index=False):
-            state = step(state, at, bool(ok))
-        return pd.DataFrame([(pdf["instance"].iloc[0], *state)], columns=["instance", "state", "failures", "opened_at", "cooldown"])
-
-    rows = outcomes.select("instance", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("outcome") == "ok").alias("ok"), "ord")
-    return rows.groupBy("instance").applyInPandas(run, OUT)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = outcomes.select("instance", at.alias("at"), "ord", F.coalesce(F.col("outcome") == "ok", F.lit(False)).alias("ok"))
+    moment = F.struct("at", "ord")
+    closed = rows.where("ok").groupBy("instance").agg(F.max(moment).alias("closed"))
+    since = F.count_if(F.col("closed").isNull() | (moment > F.col("closed")))
+    runs = rows.join(closed, "instance", "left").groupBy("instance").agg(since.cast("int").alias("failures"), F.max("at").alias("last"))
+    wait = 60 * cooldown_minutes(F.least(F.col("failures"), F.lit(TRIP + LAST_DOUBLING)), BASE_MINUTES, MOST_MINUTES, TRIP)
+    opened = lambda value: F.when(F.col("failures") >= TRIP, value).otherwise(F.lit(0.0))
+    state = F.when(F.col("failures") >= TRIP, "OPEN").otherwise("CLOSED")
+    return runs.select("instance", state.alias("state"), "failures", opened(F.col("last")).alias("opened_at"), opened(wait).alias("cooldown"))
 
 
 def stream(outcomes: DataFrame) -> DataFrame:
