@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import HOT_TOPICS, MODEL_NAMES, SOTA_WORDS, EntityTier, EventType, Scoring
 from ..functions.text import has_any, lower_text, matched
 from ..functions.time import hours_between
+from ..staging import staged
 from .caps import past_cap
 
 
@@ -108,7 +109,11 @@ def score(assets: DataFrame, as_of: Column, cfg: Scoring = Scoring()) -> DataFra
 
 
 def cap_sources(scored: DataFrame, cfg: Scoring = Scoring(), id_order: str = "ord") -> DataFrame:
-    """tier_label becomes 'skip' beyond a source's cap, by descending score, then id_order (unique); rows that were skipped don't count."""
+    """tier_label becomes 'skip' beyond a source's cap, by descending score, then id_order (unique); rows that were skipped don't count.
+
+    The scored rows are staged: both reads would else evaluate every rule, inlined into one piece of generated code.
+    """
+    scored = staged(scored, "scored")
     source = F.coalesce(F.nullif(F.col("source_id"), F.lit("")), F.nullif(F.col("source.name"), F.lit("")) if "source" in scored.columns else F.lit(None), F.lit("unknown"))
     cap = F.lit(cfg.default_cap)
     for name, n in cfg.source_caps.items():
