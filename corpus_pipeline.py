@@ -29,11 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.near_copies(docs)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
-    first = groups.groupBy("component").agg(F.count("*").alias("held"), F.min(row).alias("stays")).where("held > 1")
+    # a table, so that both sides of the join are read as they are and the rows of a large component can be split over tasks
+    first = staged(groups.groupBy("component").agg(F.count("*").alias("held"), F.min(row).alias("stays")).where("held > 1"), "first")
     named = groups.join(first, "component").select("doc_id", "h1", "h2", (row == F.col("stays")).alias("stays"))
     turned = named.groupBy("doc_id", "h1", "h2").agg(F.first("stays").alias("stays"), F.count("*").alias("held"))
     aside = staged(turned.where("not stays or held > 1").select(F.col("doc_id").alias("__id"), F.col("h1").alias("__a"), F.col("h2").alias("__b"), "stays"), "aside")
-    unstage(groups)
+    unstage(groups, first)
     h1, h2 = simhash.text_key("text")
     keyed = docs.withColumns({"__h1": h1, "__h2": h2})
     same = (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__id"))
