@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 
 from ..staging import shared_root, staged, unstage
 
-__all__ = ["SPACE", "WORD", "Cache", "documents", "let", "pages", "shared_root", "slices", "staged", "unstage", "utf8"]
+__all__ = ["SPACE", "WORD", "Cache", "documents", "let", "pages", "shared_root", "slices", "staged", "table", "unstage", "utf8"]
 
 #: White space of every word rule of this package: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return table(spark, sf_dir, "pages")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, mixing, repetition, secrets, simhash, substring, syncmers, wavelet
-from .common import shared_root, documents, pages
+from . import bpe, decontam, html, interactions, langid, merkle, mixing, oracle, repetition, secrets, simhash, substring, syncmers, wavelet
+from .common import documents, pages, shared_root, table
 
 
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": lambda s, d: bpe.op8_bpe(documents(s, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
         "op9_html": lambda s, d: html.op9_html(pages(s, d)),
         "op10_langid": lambda s, d: langid.op10_langid(documents(s, d)),
+        "op11_merkle": lambda s, d: merkle.op11_merkle(documents(s, d)),
+        "op12_decontamination": lambda s, d: decontam.op12_decontamination(documents(s, d), table(s, d, "benchmark")),
+        "op13_interactions": lambda s, d: interactions.op13_interactions(documents(s, d), table(s, d, "labels")),
     }
 
 
@@ -54,4 +57,4 @@ FROM w LEFT JOIN gone USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring": OP7_SQL}
+    return {"op7_substring": OP7_SQL, "op11_merkle": oracle.MERKLE, "op12_decontamination": oracle.DECONTAMINATION, "op13_interactions": oracle.INTERACTIONS}
