@@ -1,13 +1,14 @@
 """Literal cases of the news operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.config import Editorial, Lane, Scoring
 from tidewire.functions import hashing, text, time
-from tidewire.operators import candidates, cluster, dedup, filters, judgment, lineage, memory, readmodels, reports, scoring, signals
+from tidewire.operators import candidates, cluster, clusters, dedup, filters, judgment, lineage, memory, readmodels, reports, scoring, signals, similar
 
 NOW = lambda: F.lit("2026-06-24 12:00:00").cast("timestamp")
 DAY = lambda: F.lit("2026-06-24").cast("date")
@@ -222,24 +223,119 @@ def test_clusters(spark):
     assert {r.id: r.cluster_id for r in cluster.cluster_in_order(df).collect()} == want
 
 
-def test_similar_sets_loses_nothing(spark):
-    import random
+def share(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
 
-    rng = random.Random(0)
-    sets = [sorted(set(rng.choices("abcdefghij", k=rng.randrange(1, 7)))) for _ in range(80)]
+
+@pytest.mark.parametrize("longest", [None, 1, 6])
+def test_similar_sets_against_all_pairs(spark, longest):
+    """Over few items; with short lists everything is met in tiles."""
+    rng = random.Random(3)
+    near = [rng.choices("abcdefghijkl", k=rng.randrange(1, 12)) for _ in range(12)]
+    sets = [[x for x in rng.choice(near) if rng.random() < 0.9] + rng.choices("abcdefghijkl", k=rng.randrange(2)) for _ in range(90)] + [[], None, [None], ["a", None]]
     df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<string>")
+    plain = {}
+    for i, s in enumerate(sets):
+        if s := frozenset(x for x in s or [] if x):
+            plain.setdefault(s, []).append(i)
     for t in (0.5, 0.7):
-        got = cluster.similar_sets(df, "id", "items", t).collect()
-        linked = {(r.a, r.b) for r in got}
-        first = {}
-        for i, s in enumerate(sets):
-            first.setdefault(tuple(s), i)
-        for i, x in enumerate(sets):
-            for j in range(i):
-                y = sets[j]
-                if len(set(x) & set(y)) / len(set(x) | set(y)) >= t:
-                    a, b = first[tuple(y)], first[tuple(x)]
-                    assert a == b or (min(a, b), max(a, b)) in linked
+        want = {tuple(sorted((plain[x][0], plain[y][0]))) for x in plain for y in plain if x != y and share(x, y) >= t} | {(ids[0], i) for ids in plain.values() for i in ids[1:]}
+        got = [(r.a, r.b) for r in similar.similar_sets(df, "id", "items", t, longest).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert similar.similar_sets(df.limit(0), "id", "items", 0.5).count() == 0
+
+
+def test_similar_between(spark):
+    rng = random.Random(4)
+    draw = lambda: sorted(set(rng.choices("abcdefghij", k=rng.randrange(1, 9))))
+    old, new = {f"o{i}": draw() for i in range(60)}, {f"n{i}": draw() for i in range(25)}
+    sets = lambda rows: similar.prepared(spark.createDataFrame(list(rows.items()), "id string, items array<string>"), "id", "items")
+    often = similar.item_counts(sets(dict(list(old.items())[:10])))  # an old order: later items are unknown to it
+    want = {(a, b) for a in new for b in old if share(set(new[a]), set(old[b])) >= 0.6}
+    for longest in (None, 2):
+        got = similar.similar_between(sets(new), sets(old), often, similar.postings(sets(old), often, 0.6), 0.6, longest)
+        assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def plain_in_order(rows):
+    out, by = {}, {}
+    for r in rows:
+        by.setdefault(r[5], []).append(r)
+    for block in by.values():
+        held = []
+        for i, _, title, names, key, _ in sorted(block, key=lambda r: (r[1], r[0])):
+            names, low = {x.lower() for x in names or [] if x}, (title or "").lower()
+            pairs = {low[k : k + 2] for k in range(len(low) - 1)}
+            for c in held:
+                if share(names, c[1]) >= 0.5 or (key and key == c[2]) or share(pairs, c[3]) >= 0.7:
+                    c[1] |= names
+                    out[i] = c[0]
+                    break
+            else:
+                held.append([i, set(names), key, pairs])
+                out[i] = i
+    return out
+
+
+def story_rows(seed, n):
+    rng = random.Random(seed)
+    titles = [None, "", "Alpha beta gamma", "Alpha beta gamme", "delta epsilon zeta", "delta epsilon zet"]
+    return [
+        (i, rng.randrange(n // 2), rng.choice([*titles, f"x{i % 7}" * 3, f"x{i}" * 3]), rng.choice([None, [], [None]] + [rng.sample("ABCDefgh", rng.randrange(1, 5)) for _ in range(6)]), rng.choice([None, None, "", f"k{rng.randrange(9)}"]), rng.choice(["w1", "w2", None]))
+        for i in range(n)
+    ]
+
+
+EVENTS_IN_ORDER = "id long, ord long, title string, entities array<string>, fingerprint string, week string"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_first_match_in_order(spark, seed):
+    rows = story_rows(seed, 100)
+    got = cluster.cluster_in_order(spark.createDataFrame(rows, EVENTS_IN_ORDER))
+    assert {r.id: r.cluster_id for r in got.collect()} == plain_in_order(rows)
+    assert cluster.cluster_in_order(spark.createDataFrame([], EVENTS_IN_ORDER)).count() == 0
+
+
+def test_clusters_across_batches(spark, tmp_path):
+    """Batches, one of them run twice, give the clusters of all events at once; ids stay with the oldest cluster and none is given twice."""
+    rng = random.Random(1)
+    # few links, so that clusters meet late
+    rows = [(f"e{i}", rng.choice(["", None, f"story {i} {i * 7919} {i * 104729}"]), rng.choice([[], rng.sample("ABCDefghijklmnopqrstu", rng.randrange(2, 5))]), rng.choice([None, None, "", f"k{rng.randrange(20)}"])) for i in range(60)]
+    df = lambda part: spark.createDataFrame(part, "id string, title string, entities array<string>, fingerprint string")
+    whole = {r.id: r.cluster_id for r in cluster.cluster(df(rows)).collect()}
+    store = clusters.Store(spark, f"file://{tmp_path}/clusters")
+    rng.shuffle(rows)
+    before: dict = {}
+    for number, part in enumerate([rows[:25], rows[25:26], rows[26:]]):
+        added = store.add(df(part), number)
+        assert {r.id for r in added.assigned.collect()} == {r[0] for r in part}
+        merged = {r.cluster_id: r.into for r in added.merged.collect()}
+        now = {r.id: r.cluster_id for r in store.clusters().collect()}
+        assert all(now[i] == merged.get(c, c) for i, c in before.items())
+        before = now
+    store.add(df(rows[26:]), 2)
+    assert {r.id: r.cluster_id for r in store.clusters().collect()} == before
+    parts = lambda of: sorted(sorted(i for i in of if of[i] == c) for c in set(of.values()))
+    assert parts(before) == parts(whole)
+
+
+def test_unrelated_batches_get_their_own_ids(spark, tmp_path):
+    store = clusters.Store(spark, f"file://{tmp_path}/clusters")
+    kind = "id string, title string, entities array<string>, fingerprint string"
+    store.add(spark.createDataFrame([("a", "Markets rally on earnings", [], None)], kind), 0)
+    store.add(spark.createDataFrame([("b", "Volcano erupts at dawn", [], None)], kind), 1)
+    assert len({r.cluster_id for r in store.clusters().collect()}) == 2
+
+
+def test_overlapping_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(i, sorted(set(rng.choices("abcdefghijkl", k=rng.randrange(0, 14))))) for i in range(n)]
+    x, y = rows(40), rows(50)
+    for t in (0.5, 0.8):
+        got = dedup.overlapping(spark.createDataFrame(x, "a long, xs array<string>"), spark.createDataFrame(y, "b long, ys array<string>"), t)
+        want = {(i, j) for i, p in x for j, q in y if p and q and len(set(p) & set(q)) >= t * min(len(p), len(q))}
+        assert {tuple(r) for r in got.collect()} == want
 
 
 def test_reports(spark):

@@ -62,11 +62,15 @@ def clean_summary(col: Column, most: int = 500) -> Column:
     return F.substring(F.trim(F.regexp_replace(bare, UNICODE_SPACE, " ")), 1, most)
 
 
+def character_pairs(col: Column) -> Column:
+    """The two-character pieces of a text in order, repeats included; its characters are cut once."""
+    pairs = F.transform(F.array(F.split(col, "")), lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))[0]
+    return F.when(F.char_length(col) >= 2, F.array_compact(pairs)).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(col: Column) -> Column:
     """The distinct two-character pieces of the lower-cased text; none if it is shorter or null."""
-    low = F.lower(F.coalesce(col, F.lit("")))
-    pieces = F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))
-    return F.when(F.length(low) >= 2, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(character_pairs(F.lower(F.coalesce(col, F.lit("")))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -86,9 +90,7 @@ def folded(names: Column) -> Column:
 
 
 def cjk_bigrams(col: Column) -> Column:
-    only = F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\x{4e00}-\x{9fff}]", "")
-    pieces = F.transform(F.sequence(F.lit(1), F.length(only) - 1), lambda i: F.substring(only, i, F.lit(2)))
-    return F.when(F.length(only) >= 2, pieces).otherwise(F.array().cast("array<string>"))
+    return character_pairs(F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\x{4e00}-\x{9fff}]", ""))
 
 
 def title_keywords(title: Column, split_words: bool = False) -> Column:

@@ -1,21 +1,23 @@
 """Clustering of events: entity overlap, fingerprints, title pairs (JON-06, STR-F7, STR-F8, WIN-06, SNK-19).
 
-cluster() is the scalable form: three equi-joined candidate generators, verification, connected components. It links what the
-rules link, in any order. cluster_in_order() is the sequential form, where an event joins the first cluster that
-matches and widens it; it depends on order by definition and works inside one week, for small inputs and fidelity tests.
+cluster() links what the rules link, in any order: three candidate generators, verification, connected components; clusters.Store does so over
+many batches. cluster_in_order() is the first match in order, where an event joins the first cluster that matches and widens it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, Scoring
-from ..functions.text import bigrams, folded, jaccard, lower_text, title_keywords
+from ..functions.text import bigrams, folded, title_keywords
 from ..functions.time import seventh_day_week
 from .components import connected_components
+from .greedy import cluster_in_order
 from .scoring import entities, event_type
+from .similar import similar_sets
+
+__all__ = ["cluster", "cluster_fingerprint", "cluster_in_order", "cluster_rows", "event_fingerprint", "similar_sets"]
 
 
 def cluster_fingerprint(names: Column, kind: Column, keywords: Column, week: Column) -> Column:
@@ -33,89 +35,27 @@ def event_fingerprint(title: Column, published: Column, cfg: Scoring = Scoring()
     return F.concat_ws("|", known, event_type(F.coalesce(title, F.lit("")), cfg), F.array_join(words, ","), seventh_day_week(published))
 
 
-def similar_sets(rows: DataFrame, id_col: str, items: str, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs a < b whose item sets have a Jaccard similarity of threshold or more.
-
-    Only a set's rarest items are join keys, so common items are none unless a set has no rarer ones: of the smaller set n -
-    ceil(2 t / (1 + t) n) + 1, of the larger one n - ceil(t n) + 1. A pair that meets at an item stays only if what follows that
-    item in both sets could still make the overlap needed. Equal sets are one set before the join; each copy is linked
-    to the first.
-    """
-    t = threshold
-    sets = rows.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(items)).alias("set")).where("size(set) > 0")
-    same = sets.groupBy("set").agg(F.min("id").alias("id"))
-    often = same.select(F.explode("set").alias("item")).groupBy("item").agg(F.count("*").alias("often"))
-    long = same.select("id", F.size("set").alias("n"), F.explode("set").alias("item")).join(often, "item")
-    long = long.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "item")))
-    upto = lambda share: F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    small = long.where(upto(2 * t / (1 + t))).select(F.col("id").alias("s"), F.col("n").alias("ns"), F.col("place").alias("ps"), "item")
-    large = long.where(upto(t)).select(F.col("id").alias("l"), F.col("n").alias("nl"), F.col("place").alias("pl"), "item")
-    order = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
-    left = F.least(F.col("ns") - F.col("ps"), F.col("nl") - F.col("pl")) + 1
-    fits = order & (F.col("ns") >= F.col("nl") * t - 1e-9) & (left >= (F.col("ns") + F.col("nl")) * (t / (1 + t)) - 1e-9)
-    met = small.join(large, "item").where(fits).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
-    pairs = met.join(same.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(same.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    pairs = pairs.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= t).select("a", "b", "similarity")
-    copies = sets.join(same.withColumnRenamed("id", "first"), "set").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return pairs.unionByName(copies)
-
-
 def cluster(events: DataFrame, entity_share: float = 0.5, title_share: float = 0.7) -> DataFrame:
     """(id, cluster_id): least id of the component. events: id bigint, title, entities, fingerprint (nullable)."""
     names = events.select("id", folded(F.col("entities")).alias("names"))
     titles = events.select("id", bigrams(F.col("title")).alias("pairs"))
     by_name = similar_sets(names, "id", "names", entity_share).select("a", "b")
     by_title = similar_sets(titles, "id", "pairs", title_share).select("a", "b")
-    keyed = events.where("fingerprint is not null")
+    keyed = events.where("fingerprint <> ''")
     first = keyed.groupBy("fingerprint").agg(F.min("id").alias("a"))
     by_key = keyed.join(first, "fingerprint").where("a <> id").select("a", F.col("id").alias("b"))
     parts = connected_components(by_name.union(by_title).union(by_key))
     return events.select("id").join(parts, events["id"] == parts["node"], "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
-def _names(values) -> set[str]:
-    return {v.lower() for v in values} if values is not None else set()
-
-
-def _pairs(title: str | None) -> set[str]:
-    t = (title or "").lower()
-    return {t[i : i + 2] for i in range(len(t) - 1)}
-
-
-def _share(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def cluster_in_order(events: DataFrame, block: str = "week", entity_share: float = 0.5, title_share: float = 0.7) -> DataFrame:
-    """(id, cluster_id) by sequential matching in each block, in order of ord.
-
-    The blocks are the unit of work, and one block is one task's memory; use cluster() beyond tens of thousands of rows a block.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[int, set, str | None, set]] = []
-        out = []
-        for row in pdf.sort_values("ord").itertuples(index=False):
-            names, pairs = _names(row.entities), _pairs(row.title)
-            for at, (cid, known, key, of) in enumerate(held):
-                if _share(names, known) >= entity_share or (row.fingerprint and row.fingerprint == key) or _share(pairs, of) >= title_share:
-                    held[at] = (cid, known | names, key, of)
-                    out.append((row.id, cid))
-                    break
-            else:
-                held.append((row.id, names, row.fingerprint, pairs))
-                out.append((row.id, row.id))
-        return pd.DataFrame(out, columns=["id", "cluster_id"])
-
-    return events.select("id", "ord", "title", "entities", "fingerprint", block).groupBy(block).applyInPandas(run, "id bigint, cluster_id bigint")
-
-
 def cluster_rows(events: DataFrame) -> DataFrame:
     """One row for each cluster: title of its best score (else of its first event), count, entities, first and last time."""
+    rows = events.where("cluster_id is not null")
     best = F.max_by("title", F.when(F.col("rank_total").isNotNull(), F.struct("rank_total", -F.col("ord"))))
-    return events.where("cluster_id is not null").groupBy("cluster_id").agg(
-        F.coalesce(best, F.min_by("title", "ord")).alias("title"), F.count("*").alias("event_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entity_keys"),
-        F.min("effective_at").alias("first_seen"), F.max("effective_at").alias("last_updated"),
-    )
-
+    totals = rows.groupBy("cluster_id").agg(
+        F.coalesce(best, F.min_by("title", "ord")).alias("title"), F.count("*").alias("event_count"), F.min("effective_at").alias("first_seen"), F.max("effective_at").alias("last_updated")
+    )
+    # an entity is one row of a cluster before the list is made
+    names = rows.select("cluster_id", F.explode("entities").alias("name")).distinct().groupBy("cluster_id").agg(F.array_sort(F.collect_list("name")).alias("entity_keys"))
+    none = F.array().cast("array<string>")
+    return totals.join(names, "cluster_id", "left").select("cluster_id", "title", "event_count", F.coalesce("entity_keys", none).alias("entity_keys"), "first_seen", "last_updated")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap
+from ..staging import staged, unstage
+from .similar import SKETCH, sketch
 
 
 def keep_first(df: DataFrame, *key: str, order: str = "ord") -> DataFrame:
@@ -52,7 +54,11 @@ def against_history(today: DataFrame, history: DataFrame, keywords: str = "keywo
     first_fp = h.where("h_fp is not null").groupBy("h_fp").agg(F.min("h_ord").alias("h_ord"))
     by_url = t.join(first_url, F.col("url") == F.col("h_url")).select("ord", "h_ord", F.lit(1).alias("level"))
     by_fp = t.join(first_fp, F.col("fingerprint") == F.col("h_fp")).select("ord", "h_ord", F.lit(2).alias("level"))
-    by_words = overlapping(t.select("ord", "words"), h.select("h_ord", "h_words"), threshold).groupBy("ord").agg(F.min("h_ord").alias("h_ord")).select("ord", "h_ord", F.lit(3).alias("level"))
+    # of rows with equal words the first of history decides, and all of today share what it decides
+    t_sets = t.where("size(words) > 0").select("ord", F.array_sort("words").alias("words"))
+    sets, first_words = t_sets.groupBy("words").agg(F.min("ord").alias("first")), h.groupBy(F.array_sort("h_words").alias("h_words")).agg(F.min("h_ord").alias("h_ord"))
+    near = overlapping(sets.select("first", "words"), first_words.select("h_ord", "h_words"), threshold).groupBy("first").agg(F.min("h_ord").alias("h_ord"))
+    by_words = t_sets.join(sets, "words").join(near, "first").select("ord", "h_ord", F.lit(3).alias("level"))
     best = by_url.unionByName(by_fp).unionByName(by_words).groupBy("ord").agg(F.min(F.struct("h_ord", "level")).alias("hit"))
     level = F.col("hit.level")
     names = F.when(level == 1, "url").when(level == 2, "fingerprint").when(level == 3, "similarity")
@@ -62,24 +68,33 @@ def against_history(today: DataFrame, history: DataFrame, keywords: str = "keywo
 def overlapping(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left id, right id) whose word sets have an overlap coefficient of threshold or more. Both tables: id, array of distinct words.
 
-    The smaller set must share ceil(t n) words, so one of its n - ceil(t n) + 1 rarest ones: only these of one side meet
-    all words of the other, and the other way round, then the pair is verified. Common words are never join keys of the
-    smaller set's side unless the set has no rarer ones.
+    The smaller set must share ceil(t n) of its n words, so one of its n - ceil(t n) + 1 rarest. These meet the words of sets in
+    the same size band (a factor of two) and in those above, never of smaller ones. Where they meet, sketches of 256 bits bound how many
+    words the larger set lacks, and few pairs are left to verify.
     """
     (a, wa), (b, wb) = left.columns, right.columns
-    every = left.select(F.explode(wa).alias("word")).union(right.select(F.explode(wb).alias("word")))
-    often = every.groupBy("word").agg(F.count("*").alias("often"))
-
-    def ranked(df: DataFrame, i: str, w: str, n: str) -> DataFrame:
-        words = df.select(i, F.size(w).alias(n), F.explode(w).alias("word")).join(often, "word")
-        return words.withColumn("place", F.row_number().over(Window.partitionBy(i).orderBy("often", "word"))).withColumn("rare", F.col("place") <= F.col(n) - F.ceil(F.col(n) * threshold) + 1)
-
-    l, r = ranked(left, a, wa, "n"), ranked(right, b, wb, "m")
-    cols = lambda df, i, n: df.select(i, n, "word")
-    met = cols(l.where("rare"), a, "n").join(cols(r, b, "m"), "word").where("n <= m").select(a, b)
-    met = met.union(cols(l, a, "n").join(cols(r.where("rare"), b, "m"), "word").where("m < n").select(a, b)).distinct()
-    return met.join(left, a).join(right, b).where(overlap(F.col(wa), F.col(wb)) >= threshold).select(a, b)
-
-
-def similar(a: Column, b: Column, threshold: float = 0.5) -> Column:
-    return overlap(a, b) >= threshold
+    x = staged(left.select(F.col(a).alias("id"), F.col(wa).alias("set"), F.size(wa).alias("n"), *sketch(F.col(wa), toggled=False)).where("n > 0"), "overlap")
+    y = staged(right.select(F.col(b).alias("id"), F.col(wb).alias("set"), F.size(wb).alias("n"), *sketch(F.col(wb), toggled=False)).where("n > 0"), "overlap")
+    often = x.select(F.explode("set").alias("word")).union(y.select(F.explode("set").alias("word"))).groupBy("word").agg(F.count("*").alias("often"))
+    often = staged(often, "often")
+
+    def ranked(sets: DataFrame) -> DataFrame:
+        rows = sets.select("id", "n", *SKETCH, F.explode("set").alias("word")).join(often, "word")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("often", "word"))
+        return staged(rows.withColumn("rare", place <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).withColumn("band", F.floor(F.log2("n")).cast("int")), "ranked")
+
+    p, q = ranked(x), ranked(y)
+    widest = p.agg(F.max("band").alias("band")).union(q.agg(F.max("band"))).agg(F.max("band")).first()[0] or 0
+
+    def met(small: DataFrame, large: DataFrame, alike: bool) -> DataFrame:
+        s = small.where("rare").select("word", F.explode(F.sequence(F.col("band"), F.lit(max(widest, 0)))).alias("band"), F.col("id").alias("s"), F.col("n").alias("ns"), *[F.col(w).alias(f"s{w}") for w in SKETCH])
+        r = large.select("word", "band", F.col("id").alias("l"), F.col("n").alias("nl"), *[F.col(w).alias(f"l{w}") for w in SKETCH])
+        lacks = sum((F.bit_count(F.col(f"s{w}").bitwiseAND(F.bitwise_not(F.col(f"l{w}")))) for w in SKETCH), F.lit(0))
+        sizes = F.col("ns") <= F.col("nl") if alike else F.col("ns") < F.col("nl")
+        return s.join(r, ["word", "band"]).where(sizes & (lacks <= F.col("ns") - F.ceil(F.col("ns") * threshold))).select("s", "l")
+
+    pairs = met(p, q, True).toDF(a, b).union(met(q, p, False).select("l", "s")).distinct()
+    known = pairs.join(x.select(F.col("id").alias(a), F.col("set").alias("_x")), a).join(y.select(F.col("id").alias(b), F.col("set").alias("_y")), b)
+    out = staged(known.where(overlap(F.col("_x"), F.col("_y")) >= threshold).select(a, b), "overlapping")
+    unstage(x, y, often, p, q)
+    return out

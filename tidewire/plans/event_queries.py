@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import PUBLISHERS, STOP_WORDS, Scoring
 from ..functions import text
-from ..operators import cluster, dedup, evidence, lineage, readmodels, reports, scoring, weekly
+from ..operators import cluster, clusters, dedup, evidence, lineage, readmodels, reports, scoring, weekly
+from ..staging import shared_root
 from .tables import ASSETS, EVENTS, as_of, assets, events_of, query, sql_list, table
 
 _TEXTS = "d AS (SELECT doc_id AS id, doc_id AS ord, sha256(text) AS content_hash, source FROM documents)"
@@ -82,16 +85,17 @@ def title_bigram_pairs(spark, sf):
     return cluster.similar_sets(a, "id", "p", 0.7).where("similarity < 1").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-_HIST = "h AS (SELECT doc_id AS ord, left(split_part(text, chr(10), 1), 60) AS title, 'u' || (doc_id % 700) AS url, 'f' || (doc_id % 900) AS fp FROM documents), k AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda w: w <> '')) AS words FROM h)"
+_HIST = "h AS (SELECT doc_id AS ord, split_part(coalesce(text, ''), chr(10), 1) AS title, 'u' || (doc_id % 700) AS url, 'f' || (doc_id % 900) AS fp, doc_id * 7919 % 43200 >= 32400 AS today FROM documents), k AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda w: w <> '')) AS words FROM h)"
 _LEVEL = "CASE WHEN t.url = y.url THEN 1 WHEN t.fp = y.fp THEN 2 WHEN len(t.words) > 0 AND len(y.words) > 0 AND len(list_intersect(t.words, y.words)) >= 0.8 * least(len(t.words), len(y.words)) THEN 3 END"
 
 
-@query("q_overlap_dedup", f"WITH {_HIST}, m AS (SELECT t.ord, min((y.ord, {_LEVEL})) AS hit FROM k t JOIN k y ON t.ord % 4 = 0 AND y.ord % 4 <> 0 AND {_LEVEL} IS NOT NULL GROUP BY t.ord) SELECT k.ord, CASE hit[2] WHEN 1 THEN 'url' WHEN 2 THEN 'fingerprint' WHEN 3 THEN 'similarity' END AS removed_by, coalesce(hit[1], -1) AS repeats FROM k LEFT JOIN m ON k.ord = m.ord WHERE k.ord % 4 = 0".replace("hit[2]", "struct_extract_at(hit, 2)").replace("hit[1]", "struct_extract_at(hit, 1)"))
+@query("q_overlap_dedup", f"WITH {_HIST}, m AS (SELECT t.ord, min((y.ord, {_LEVEL})) AS hit FROM k t JOIN k y ON t.today AND NOT y.today AND {_LEVEL} IS NOT NULL GROUP BY t.ord) SELECT k.ord, CASE hit[2] WHEN 1 THEN 'url' WHEN 2 THEN 'fingerprint' WHEN 3 THEN 'similarity' END AS removed_by, coalesce(hit[1], -1) AS repeats FROM k LEFT JOIN m ON k.ord = m.ord WHERE k.today".replace("hit[2]", "struct_extract_at(hit, 2)").replace("hit[1]", "struct_extract_at(hit, 1)"))
 def overlap_dedup(spark, sf):
+    """The month's last days, by the time that assets() gives a document, against the days before."""
     d = table(spark, sf, "documents")
-    title = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60)
-    rows = d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("url"), F.concat(F.lit("f"), (F.col("doc_id") % 900).cast("string")).alias("fingerprint"), F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z]+"), lambda w: w != "")).alias("keywords"))
-    return dedup.against_history(rows.where("ord % 4 = 0"), rows.where("ord % 4 <> 0"), threshold=0.8).select("ord", "removed_by", F.coalesce("repeats", F.lit(-1)).alias("repeats"))
+    title = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    rows = d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("url"), F.concat(F.lit("f"), (F.col("doc_id") % 900).cast("string")).alias("fingerprint"), F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z]+"), lambda w: w != "")).alias("keywords"), (F.col("doc_id") * 7919 % 43200 >= 32400).alias("today"))
+    return dedup.against_history(rows.where("today"), rows.where("not today"), threshold=0.8).select("ord", "removed_by", F.coalesce("repeats", F.lit(-1)).alias("repeats"))
 
 
 _MARKS, _CJK = text.TITLE_MARKS.replace("'", "''"), r"[^\x{4e00}-\x{9fff}]"
@@ -162,11 +166,55 @@ def cluster_documents(spark, sf):
     return cluster.cluster(_clusterable(spark, sf))
 
 
-@query("q_cluster_leader")
+#: One event of each block a step: the first cluster that it matches takes it and its entities, or it founds one.
+_IN_ORDER = f"""WITH RECURSIVE {EVENTS}, {_SETS}, b AS (
+    SELECT id, coalesce(strftime(effective_at, '%Y-%m-%d'), 'none') AS week, names, p, row_number() OVER (PARTITION BY coalesce(strftime(effective_at, '%Y-%m-%d'), 'none') ORDER BY ord) AS k FROM sets JOIN (SELECT ord AS id, ord, effective_at FROM events_v) USING (id)
+), e AS MATERIALIZED (
+    SELECT x.id, x.week, x.k, any_value(x.names) AS names, list(y.id) FILTER (y.id IS NOT NULL) AS alike FROM b x
+    LEFT JOIN b y ON x.week = y.week AND y.k < x.k AND len(x.p) > 0 AND len(y.p) > 0 AND len(list_intersect(x.p, y.p)) / len(list_distinct(x.p || y.p)) >= 0.7 GROUP BY x.id, x.week, x.k
+), walk AS (
+    SELECT week, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS cluster_id, [{{'c': -1::BIGINT, 'u': ['']}}] AS held FROM (SELECT DISTINCT week FROM e)
+    UNION ALL
+    SELECT week, k, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN held || [{{'c': id, 'u': names}}] ELSE list_transform(held, lambda h: CASE WHEN h.c = hit THEN {{'c': h.c, 'u': list_distinct(h.u || names)}} ELSE h END) END
+    FROM (SELECT w.week, e.k, e.id, e.names, w.held, list_filter(w.held, lambda h: h.c >= 0 AND (coalesce(list_contains(e.alike, h.c), false)
+        OR (len(h.u) > 0 AND len(e.names) > 0 AND len(list_intersect(h.u, e.names)) >= 0.5 * len(list_distinct(h.u || e.names)))))[1].c AS hit FROM walk w JOIN e ON e.week = w.week AND e.k = w.k + 1)
+)
+SELECT id, cluster_id FROM walk WHERE k > 0"""
+
+
+@query("q_cluster_leader", _IN_ORDER)
 def cluster_leader(spark, sf):
     return cluster.cluster_in_order(_clusterable(spark, sf))
 
 
+#: Components of the first half month and of all events. A cluster is named by its least event; of those that meet later the least name stays.
+_BATCHES = f"""WITH RECURSIVE {EVENTS}, {_SETS}, {_LINKS}, first AS (
+    SELECT ord AS id FROM events_v WHERE effective_at IS NULL OR effective_at < TIMESTAMP '2024-01-16'
+), {_LEAST}, whole AS (
+    SELECT id, min(cluster_id) AS part FROM least_id GROUP BY id
+), early AS (
+    SELECT id, id AS cluster_id, 0 AS step FROM first UNION ALL SELECT l.a, min(r.cluster_id), min(r.step) + 1 FROM early r JOIN links l ON l.b = r.id JOIN first f ON f.id = l.a WHERE r.step < 25 GROUP BY l.a
+), parts AS (
+    SELECT id, min(cluster_id) AS part FROM early GROUP BY id
+), named AS (
+    SELECT id, 'c' || left(sha256(min(CAST(id AS VARCHAR)) OVER (PARTITION BY part)), 16) AS name FROM parts
+), kept AS (
+    SELECT part, min(name) AS name, min(CAST(whole.id AS VARCHAR)) AS least FROM whole LEFT JOIN named USING (id) GROUP BY part
+)
+SELECT CAST(id AS VARCHAR) AS id, coalesce(name, 'c' || left(sha256(least), 16)) AS cluster_id FROM whole JOIN kept USING (part)"""
+
+
+@query("q_cluster_batches", _BATCHES)
+def cluster_batches(spark, sf):
+    """The first half month stored, then the rest against the stored clusters."""
+    store = clusters.Store(spark, f"{shared_root(spark)}/clusters-{uuid.uuid4().hex}")
+    events = events_of(spark, sf).select(F.col("ord").alias("id"), "title", "entities", F.lit(None).cast("string").alias("fingerprint"), "effective_at")
+    early = F.col("effective_at").isNull() | (F.col("effective_at") < F.lit("2024-01-16").cast("timestamp"))
+    store.add(events.where(early), 0)
+    store.add(events.where(~early), 1)
+    return store.clusters()
+
+
 @query("q_cluster_rows", f"WITH {EVENTS} SELECT cluster_id, arg_max(title, (rank_total, -ord)) AS title, count(*) AS event_count, array_to_string(list_sort(list_distinct(flatten(list(entities)))), ',') AS entity_keys, strftime(min(effective_at), '%Y-%m-%d %H:%M') AS first_seen FROM events_v WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
 def cluster_rows(spark, sf):
     return cluster.cluster_rows(events_of(spark, sf)).select("cluster_id", "title", "event_count", F.array_join("entity_keys", ",").alias("entity_keys"), F.date_format("first_seen", "yyyy-MM-dd HH:mm").alias("first_seen"))
@@ -243,9 +291,9 @@ def url_anti(spark, sf):
     return reports.unknown_urls(articles, p.where("page_id % 3 = 0"))
 
 
-@query("q_title_consistency", "WITH c AS (SELECT conv_id, role, left(text, 3) AS t FROM conversations), x AS (SELECT conv_id, list(DISTINCT t) AS x FROM c WHERE role = 'user' GROUP BY 1), y AS (SELECT conv_id, list(DISTINCT t) AS y FROM c WHERE role <> 'user' GROUP BY 1), b AS (SELECT conv_id, coalesce(x, []) AS x, coalesce(y, []) AS y FROM x FULL JOIN y USING (conv_id)) SELECT conv_id, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS similarity, len(list_intersect(x, y)) / len(list_distinct(x || y)) < 0.5 AS warn FROM b")
+@query("q_title_consistency", "WITH c AS (SELECT conv_id, role, unnest(string_split_regex(lower(text), '[^a-z]+')) AS t FROM conversations), x AS (SELECT conv_id, list(DISTINCT t) AS x FROM c WHERE role = 'user' GROUP BY 1), y AS (SELECT conv_id, list(DISTINCT t) AS y FROM c WHERE role <> 'user' GROUP BY 1), b AS (SELECT conv_id, coalesce(x, []) AS x, coalesce(y, []) AS y FROM x FULL JOIN y USING (conv_id)) SELECT conv_id, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS similarity, len(list_intersect(x, y)) / len(list_distinct(x || y)) < 0.5 AS warn FROM b")
 def title_consistency(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "role", F.substring("text", 1, 3).alias("t"))
+    c = table(spark, sf, "conversations").select("conv_id", "role", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("t"))
     return reports.title_consistency(c.where("role = 'user'"), c.where("role <> 'user'"), "conv_id", "t").select("conv_id", F.round("similarity", 6).alias("similarity"), "warn")
 
 
@@ -254,7 +302,7 @@ def _scripts(spark, sf):
     line = F.struct(F.col("role").alias("speaker"), "text", (F.char_length("text") / 4.0).alias("duration_s"))
     rows = c.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]).alias("lines"))
     none = F.array().cast("array<struct<title:string,dialogue:array<struct<speaker:string,text:string,duration_s:double>>>>")
-    rest = F.slice("lines", 2, 1000000)
+    rest = F.slice(F.col("lines"), F.lit(2), F.size("lines"))
     return rows.select("id", F.slice("lines", 1, 1).alias("hook"), F.slice("lines", 1, 0).alias("overview"), F.array(F.struct(F.lit("t").alias("title"), rest.alias("dialogue"))).alias("deep_items"), none.alias("quick_items"), F.slice("lines", 1, 0).alias("closing"))
 
 

@@ -10,11 +10,11 @@ from ..sources import feeds
 from .tables import ASSETS, CFG, SCORED, as_of, assets, day, query, scored, table
 
 
-@query("q_normalize_hash", f"WITH {ASSETS} SELECT id, title, substr(summary, 1, 80) AS summary, source_id, 'sha256:' || substr(sha256(title || '|' || url || '|' || summary || '|' || coalesce(strftime(published_at, '%Y-%m-%d %H:%M:%S'), '')), 1, 16) AS content_hash FROM assets")
+@query("q_normalize_hash", f"WITH {ASSETS} SELECT id, title, summary, source_id, 'sha256:' || substr(sha256(title || '|' || url || '|' || summary || '|' || coalesce(strftime(published_at, '%Y-%m-%d %H:%M:%S'), '')), 1, 16) AS content_hash FROM assets")
 def normalize_hash(spark, sf):
     a = assets(spark, sf)
     when = F.coalesce(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), F.lit(""))
-    return a.select("id", "title", F.substring("summary", 1, 80).alias("summary"), "source_id", hashing.content_hash("title", "url", "summary", when).alias("content_hash"))
+    return a.select("id", "title", "summary", "source_id", hashing.content_hash("title", "url", "summary", when).alias("content_hash"))
 
 
 _RAW = "CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%MZ') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H') WHEN 3 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN 'unknown' END"

@@ -53,7 +53,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     text = F.coalesce("text", F.lit(""))
     return d.select(
-        i.alias("ord"), F.concat(F.lit("doc_"), i.cast("string")).alias("id"), F.substring(F.element_at(F.split(text, "\n"), 1), 1, 120).alias("title"), clean_summary(text).alias("summary"),
+        i.alias("ord"), F.concat(F.lit("doc_"), i.cast("string")).alias("id"), F.substring_index(text, "\n", 1).alias("title"), clean_summary(text).alias("summary"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), (i % 300).cast("string")).alias("url"), F.col("source").alias("source_id"), F.col("lang").alias("language"),
         F.when(F.col("lang") == "en", "industry").when(F.col("lang") == "fr", "research").when(F.col("lang") == "de", "policy").otherwise("arts").alias("category"),
         (i % 3 + 1).cast("int").alias("tier"), F.when(i % 17 != 0, F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(i * 7919 % 43200).cast("int"))).alias("published_at"),
@@ -62,7 +62,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ASSETS = r"""
 assets AS (
-    SELECT doc_id AS ord, 'doc_' || doc_id AS id, left(split_part(coalesce(text, ''), chr(10), 1), 120) AS title,
+    SELECT doc_id AS ord, 'doc_' || doc_id AS id, split_part(coalesce(text, ''), chr(10), 1) AS title,
         left(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '\s+', ' ', 'g')), 500) AS summary,
         'https://' || source || '.example.com/' || (doc_id % 300) AS url, source AS source_id, lang AS language,
         CASE lang WHEN 'en' THEN 'industry' WHEN 'fr' THEN 'research' WHEN 'de' THEN 'policy' ELSE 'arts' END AS category,
@@ -150,8 +150,10 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot for each day of January: the day's events of score 30 or more."""
-    e = events_of(spark, sf_dir).where("effective_at is not null and rank_total >= 30")
-    return e.groupBy(F.col("effective_at").cast("date").alias("date")).agg(F.array_sort(F.collect_set("id")).alias("top_event_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("top_entities"), F.array_sort(F.collect_set("category")).alias("top_categories"))
+    e = events_of(spark, sf_dir).where("effective_at is not null and rank_total >= 30").withColumn("date", F.col("effective_at").cast("date"))
+    names = e.select("date", F.explode("entities").alias("name")).distinct().groupBy("date").agg(F.array_sort(F.collect_list("name")).alias("top_entities"))
+    days = e.groupBy("date").agg(F.array_sort(F.collect_set("id")).alias("top_event_ids"), F.array_sort(F.collect_set("category")).alias("top_categories"))
+    return days.join(names, "date", "left").select("date", "top_event_ids", F.coalesce("top_entities", F.array().cast("array<string>")).alias("top_entities"), "top_categories")
 
 
 SNAPSHOTS = EVENTS + """, snaps AS (SELECT CAST(effective_at AS DATE) AS date, id, entities FROM events_v WHERE effective_at IS NOT NULL AND rank_total >= 30)"""
