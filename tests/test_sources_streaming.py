@@ -1,10 +1,12 @@
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.plans import pipelines
-from tidewire.sources import feeds, files
-from tidewire.streaming import breaker, ingest
+from tidewire.sources import feeds, files, keys, landed
+from tidewire.streaming import breaker, ingest, stories
 
 NOW = lambda: F.lit("2026-06-24 12:00:00").cast("timestamp")
 RSS = """<rss><channel><item><title><![CDATA[A & B]]></title><link>http://x/1</link><description>&lt;p&gt;Body <b>x</b></description><pubDate>Wed, 24 Jun 2026 09:15:00 GMT</pubDate><category>c1</category><category><![CDATA[c2]]></category><enclosure url="http://i/1.png" type="image/png"/></item>
@@ -64,41 +66,83 @@ def test_ingestion_pipeline(spark):
     assert all(r.cluster_id for r in events)
 
 
-def test_ingest_stream_is_idempotent(spark, tmp_path):
+SCHEMA = "id string, content_hash string, entities array<string>, effective_at timestamp, ord long"
+
+
+def event(i, h, o):
+    return {"id": i, "content_hash": h, "entities": ["E"], "effective_at": "2026-06-24T01:00:00Z", "ord": o}
+
+
+def test_ingest_stream_stores_once(spark, tmp_path, monkeypatch):
+    """Replays, a failure between the tables, a restart and a new checkpoint: each id and each hash is stored once, nothing is lost, nothing is left behind."""
     src = tmp_path / "in"
     src.mkdir()
-    schema = "id string, content_hash string, entities array<string>, effective_at timestamp, ord long"
+    ev, en, cp, other = (f"file://{tmp_path}/{x}" for x in ("events", "entities", "cp", "other"))
+    left = lambda: len(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    before = left()
 
-    def land(name, rows):
+    def land(name, *rows):
         (src / name).write_text("\n".join(json.dumps(r) for r in rows))
 
-    row = lambda i, h, o: {"id": i, "content_hash": h, "entities": ["E"], "effective_at": "2026-06-24T01:00:00Z", "ord": o}
-    ev, en, cp = (f"file://{tmp_path}/{x}" for x in ("events", "entities", "cp"))
+    def run(checkpoint=cp):
+        ingest.ingest(ingest.read_events(spark, str(src), SCHEMA), ev, en, checkpoint, once=True).awaitTermination()
 
-    def run():
-        ingest.ingest(ingest.read_events(spark, str(src), schema), ev, en, cp, once=True).awaitTermination()
+    def stored():
+        ids = sorted(r.id for r in spark.read.parquet(ev).collect())
+        assert sorted(r.event_id for r in spark.read.parquet(en).collect()) == ids
+        return "".join(ids)
 
-    land("1.json", [row("a", "h1", 1), row("b", "h2", 2), row("a", "h1", 3)])
+    land("1.json", event("a", "h1", 1), event("b", "h2", 2), event("a", "h1", 3))
     run()
-    land("2.json", [row("c", "h2", 4), row("d", "h4", 5)])
+    land("2.json", event("c", "h2", 4), event("d", "h4", 5), event("n", None, 6), event("m", None, 7))
     run()
     run()
-    assert sorted(r.id for r in spark.read.parquet(ev).collect()) == ["a", "b", "d"]
-    assert spark.read.parquet(en).count() == 3
+    assert stored() == "abdmn"
+    assert left() == before
+
+    # a stream with a new checkpoint reads all again, and a row whose hash the other one stored
+    land("3.json", event("z", "h1", 8))
+    run(other)
+    assert stored() == "abdmn"
 
-    # a failure between the two tables: the batch runs again, and its bridge rows are written
-    land("3.json", [row("e", "h5", 6)])
-    kept, ingest.bridge = ingest.bridge, lambda *a: 1 / 0
-    try:
+    # a failure after the events: the batch runs again, and the rest is written
+    land("4.json", event("e", "h5", 9))
+    kept = ingest.bridge
+    monkeypatch.setattr(ingest, "bridge", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="division"):
         run()
-    except Exception:  # noqa: BLE001
-        pass
-    finally:
-        ingest.bridge = kept
-    assert spark.read.parquet(ev).count() == 4 and spark.read.parquet(en).count() == 3
+    monkeypatch.setattr(ingest, "bridge", kept)
     run()
-    assert sorted(r.id for r in spark.read.parquet(ev).collect()) == ["a", "b", "d", "e"]
-    assert sorted(r.event_id for r in spark.read.parquet(en).collect()) == ["a", "b", "d", "e"]
+    assert stored() == "abdemn"
+
+    # the same failure, but it is another checkpoint that goes on: the run is completed from its events
+    land("5.json", event("f", "h6", 10))
+    monkeypatch.setattr(ingest, "bridge", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="division"):
+        run()
+    monkeypatch.setattr(ingest, "bridge", kept)
+    land("6.json", event("g", "h6", 11))
+    run(other)
+    assert stored() == "abdefmn"
+    run()
+    assert stored() == "abdefmn"
+
+
+def test_key_table_reads_few_buckets(spark, tmp_path):
+    table = keys.KeyTable(spark, f"file://{tmp_path}/keys", buckets=32, pages=1)
+    rows = lambda names: spark.createDataFrame([("id", n) for n in names], "kind string, key string")
+    assert table.lookup(rows(["a"])).count() == 0
+    table.add(rows([f"k{i}" for i in range(300)]), "r1")
+    table.add(rows(["k3", "x"]), "r2")
+    found = table.lookup(rows(["k3", "x", "absent", "k299"]))
+    assert {tuple(r) for r in found.collect()} == {("id", "k3", "r1"), ("id", "k3", "r2"), ("id", "x", "r2"), ("id", "k299", "r1")}
+    # two keys lie in at most two buckets of 32; absent keys read next to nothing
+    assert 1 <= len({f.rsplit("/", 1)[0] for f in table.lookup(rows(["k1", "k2"])).inputFiles() if "/keys/keys/" in f}) <= 2
+    assert len(table.folders(table.may_hold(rows([f"absent{i}" for i in range(200)])))) <= 4
+    assert len(os.listdir(tmp_path / "keys" / "keys")) > 25
+    table.compact()
+    assert table.lookup(rows([f"k{i}" for i in range(300)])).select("key").distinct().count() == 300
+    assert table.lookup(rows(["x"]).withColumn("kind", F.lit("hash"))).count() == 0
 
 
 def test_breaker(spark):
@@ -119,3 +163,138 @@ def test_breaker(spark):
     assert [breaker.choose(states, 0.0, t).first().instance for t in range(3)] == ["b", "c", "b"]
     only = states.where("state = 'OPEN'")
     assert breaker.choose(only, 0.0, 0).count() == 0 and breaker.choose(only, 4e9, 0).first().instance == "a"
+
+
+MENTION = "story_key string, event_id string, at timestamp, tier int"
+
+
+def mentions(folder, name, *rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps(dict(zip(("story_key", "event_id", "at", "tier"), r, strict=True))) for r in rows))
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stories.ROCKSDB)
+    yield
+    spark.conf.set(key, before)
+
+
+def run_stream(df, out, checkpoint, mode="update"):
+    df.writeStream.outputMode(mode).foreachBatch(lambda rows, n: out.extend(tuple(r) for r in rows.collect())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_stories_change_by_the_clock(spark, tmp_path, rocksdb):
+    src, out = tmp_path / "in", []
+    step = lambda: run_stream(stories.stream_stories(spark.readStream.schema(MENTION).json(str(src))), out, f"file://{tmp_path}/cp")
+    mentions(src, "1.json", ("s", "e1", "2026-01-01T10:00:00Z", 1), ("s", "e2", "2026-01-01T11:00:00Z", 1), ("t", "x", "2026-01-01T11:00:00Z", 1), ("s", "e2", "2026-01-01T12:00:00Z", 1), (None, "x", "2026-01-01T11:00:00Z", 1))
+    step()
+    assert {r[:3] for r in out} == {("s", "developing", 2), ("t", "emerging", 1)}
+    out.clear()
+    # nothing of s and t comes any more: the clock turns them
+    mentions(src, "2.json", ("u", "e9", "2026-01-07T10:00:00Z", 1))
+    step()
+    assert {r[:2] for r in out} == {("u", "emerging"), ("s", "follow-up"), ("t", "follow-up")}
+    out.clear()
+    mentions(src, "3.json", ("u", "e8", "2026-01-12T10:00:00Z", 1), ("t", "y", "2026-01-12T10:00:00Z", 1))
+    step()
+    last = {}
+    for r in out:
+        last[r[0]] = r[1]
+    assert last == {"u": "developing", "t": "developing", "s": "stale"}
+    batch = stories.batch_stories(spark.read.schema(MENTION).json(str(src)), F.lit("2026-01-11 10:00:00").cast("timestamp"))
+    assert {r.story_key: r.state for r in batch.collect()} == last
+
+
+def test_quarantine_expires_by_the_clock(spark, tmp_path, rocksdb):
+    src, out = tmp_path / "in", []
+    step = lambda: run_stream(stories.stream_quarantine(spark.readStream.schema(MENTION).json(str(src)).select(F.col("event_id").alias("id"), "at")), out, f"file://{tmp_path}/cp")
+    mentions(src, "1.json", ("s", "a", "2026-01-01T10:00:00Z", 1), ("s", "b", "2026-01-01T10:00:00Z", 1))
+    step()
+    mentions(src, "2.json", ("s", "b", "2026-01-03T10:00:00Z", 1))
+    step()
+    assert {r[:2] for r in out} == {("a", "held"), ("b", "held")}
+    out.clear()
+    mentions(src, "3.json", ("s", "c", "2026-01-05T10:00:00Z", 1))
+    step()
+    assert {r[:2] for r in out} == {("c", "held"), ("a", "expired")}
+
+
+def test_sessions_and_late_rows(spark, tmp_path):
+    rows = [("s", "1", "2026-01-01T00:00:00Z", 1), ("s", "2", "2026-01-01T05:00:00Z", 1), ("s", "3", "2026-01-01T12:00:00Z", 2), ("s", "4", "2026-01-01T23:00:00Z", 1), ("t", "5", "2026-01-01T00:00:00Z", 3), (None, "6", "2026-01-01T00:00:00Z", 3), ("t", "7", None, 3)]
+    src = tmp_path / "in"
+    mentions(src, "1.json", *rows)
+    batch = spark.read.schema(MENTION).json(str(src))
+    got = sorted((r.story_key, r.started.day, r.started.hour, r.ended.day, r.ended.hour, r.mentions) for r in stories.sessions(batch).collect())
+    assert got == [("s", 1, 0, 1, 11, 2), ("s", 1, 12, 2, 5, 2), ("t", 1, 0, 2, 0, 1)]
+    # as a stream, a session is written once the watermark has passed its end
+    out = []
+    step = lambda: run_stream(stories.sessions(spark.readStream.schema(MENTION).json(str(src)), late="1 hour"), out, f"file://{tmp_path}/cp", "append")
+    step()
+    mentions(src, "2.json", ("z", "8", "2026-01-05T00:00:00Z", 1))
+    step()
+    assert sorted((r[0], r[1].hour, r[2].hour, r[3]) for r in out) == [("s", 0, 11, 2), ("s", 12, 5, 2), ("t", 0, 0, 1)]
+
+    on_time, late = f"file://{tmp_path}/on", f"file://{tmp_path}/late"
+    fresh = tmp_path / "fresh"
+    split = lambda: stories.split_late(spark.readStream.schema(MENTION).json(str(fresh)), on_time, late, f"file://{tmp_path}/cp2", 2.0, once=True).awaitTermination()
+    mentions(fresh, "1.json", ("a", "1", "2026-01-02T00:00:00Z", 1), ("a", "2", "2026-01-01T00:00:00Z", 1))
+    split()
+    mentions(fresh, "2.json", ("a", "3", "2026-01-01T21:59:00Z", 1), ("a", "4", "2026-01-01T22:30:00Z", 1), ("a", "5", None, 1))
+    split()
+    assert [r.event_id for r in spark.read.parquet(late).collect()] == ["3"] and sorted(r.event_id for r in spark.read.parquet(on_time).collect()) == ["1", "2", "4", "5"]
+
+
+def test_landed_feeds(spark, tmp_path):
+    folder = tmp_path / "feeds"
+    (folder / "b").mkdir(parents=True)
+    (folder / "a.xml").write_text(RSS)
+    (folder / "b" / "1.xml").write_text(ATOM)
+    rows = [*registry(spark).collect(), ("c", "C", "u", 2, "en", "media", None, None, None, None, None, None), ("off", "O", "u", 2, "en", "media", None, None, None, "disabled", None, None)]
+    table = spark.createDataFrame(rows, feeds.REGISTRY)
+    got = landed.read_landed(spark, table, str(folder))
+    assert got.rdd.getNumPartitions() == 3
+    assert {(r.source_id, r.status) for r in got.collect()} == {("a", "ok"), ("b", "ok"), ("c", "error")}
+    assert "nothing landed for c" in got.where("status = 'error'").first().error
+    items, results = feeds.collect_landed(got, table, NOW())
+    assert {r.title for r in items.collect()} == {"A & B", "Second", "At"}
+    assert {r.source_id: (r.status, r.n_raw) for r in results.collect()} == {"a": ("ok", 2), "b": ("ok", 1), "c": ("error", 0), "off": ("disabled", 0)}
+
+    def broken(folder, source):
+        yield "1", b"<rss></rss>"
+        raise TimeoutError("slow")
+
+    assert {(r.status, r.error) for r in landed.read_landed(spark, table, str(folder), broken).collect()} == {("ok", None), ("error", "TimeoutError: slow")}
+
+    out = []
+    step = lambda: run_stream(landed.read_landed(spark, table, str(folder), stream=True), out, f"file://{tmp_path}/cp", "append")
+    step()
+    assert [(r[0], r[4]) for r in out] == [("b", "1.xml")]
+    out.clear()
+    (folder / "b" / "2.xml").write_text(ATOM)
+    (folder / "c").mkdir()
+    (folder / "c" / "1.xml").write_bytes(b"\xff\xfe")
+    step()
+    assert [(r[0], r[1], r[4]) for r in sorted(out)] == [("b", "ok", "2.xml"), ("c", "error", None)]
+
+
+def test_archive_is_whole_or_absent(spark, tmp_path):
+    week = lambda w: [(w, n, f"{n} of {w}") for n in landed.WEEK_FILES]
+    df = lambda rows: spark.createDataFrame(rows, landed.ARCHIVE).repartition(3)
+    path = tmp_path / "archive"
+    names = lambda: sorted(p.name for p in path.iterdir() if p.name != "_staged") if path.exists() else []
+    landed.write_archive(df(week("2026-W01") + week("2026-W02")), str(path))
+    assert names() == ["2026-W01", "2026-W02"] and (path / "2026-W01" / "script.md").read_text() == "script.md of 2026-W01"
+    # a task that dies after others have written
+    dies = df(week("2026-W03")).withColumn("content", F.when(F.col("name") == "manifest.json", F.raise_error(F.lit("killed"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="killed"):
+        landed.write_archive(dies, str(path))
+    with pytest.raises(Exception, match="partial weeks"):
+        landed.write_archive(df(week("2026-W04") + week("2026-W05")[:2]), str(path))
+    with pytest.raises(Exception, match="archived already"):
+        landed.write_archive(df(week("2026-W01") + week("2026-W06")), str(path))
+    assert names() == ["2026-W01", "2026-W02"] and not any((path / "_staged").iterdir())
+    landed.write_archive(df([(w, n, "new") for w, n, _ in week("2026-W01")]), str(path), overwrite=True)
+    assert names() == ["2026-W01", "2026-W02"] and (path / "2026-W01" / "article.md").read_text() == "new"

@@ -70,6 +70,20 @@ def collect(feeds: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def collect_landed(landed: DataFrame, registry: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(items, results) of rows that the landed data source read: results has each source's status, error, and n_raw, as health.collection_summary takes them.
+
+    A source that failed is an error with what it said, one that is switched off disabled; the others are collected.
+    """
+    items = collect(landed.where("status = 'ok'").select("source_id", "xml"), registry, as_of)
+    off = ~F.coalesce("enabled", F.lit(True)) | (F.coalesce("status", F.lit("active")) == "disabled")
+    said = landed.groupBy("source_id").agg(F.max(F.when(F.col("status") == "error", F.coalesce("error", F.lit("")))).alias("error"))
+    counts = items.groupBy("source_id").agg(F.count("*").alias("n_raw"))
+    every = registry.select(F.col("id").alias("source_id"), off.alias("off")).join(said, "source_id", "left").join(counts, "source_id", "left")
+    status = F.when(F.col("off"), "disabled").when(F.col("error").isNotNull(), "error").otherwise("ok")
+    return items, every.select("source_id", status.alias("status"), "error", F.coalesce("n_raw", F.lit(0)).alias("n_raw"))
+
+
 def page_date(html: Column) -> Column:
     """The date a page gives itself: structured data, then its meta elements."""
     ld = F.regexp_extract(html, r"(?is)\"(?:datePublished|dateCreated)\"\s*:\s*\"([^\"]+)\"", 1)
