@@ -1,11 +1,14 @@
 import json
 import os
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.functions import text
 from tidewire.plans import pipelines
-from tidewire.sources import feeds, files, keys, landed
+from tidewire.sources import feeds, files, grams, keys, landed, logs
 from tidewire.streaming import breaker, ingest, stories
 
 NOW = lambda: F.lit("2026-06-24 12:00:00").cast("timestamp")
@@ -298,3 +301,51 @@ def test_archive_is_whole_or_absent(spark, tmp_path):
     assert names() == ["2026-W01", "2026-W02"] and not any((path / "_staged").iterdir())
     landed.write_archive(df([(w, n, "new") for w, n, _ in week("2026-W01")]), str(path), overwrite=True)
     assert names() == ["2026-W01", "2026-W02"] and (path / "2026-W01" / "article.md").read_text() == "new"
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 60])
+def test_objects_in_chunks(spark, monkeypatch, chunk):
+    """Whatever the chunk size, the objects that one scan of the whole log finds."""
+    monkeypatch.setattr(logs, "BLOCK", 3)
+    rng = random.Random(chunk)
+    rows, want = [("null", 0, None)], []
+    for log in range(10):
+        text = "".join(rng.choice('{}{}"\\a{"x":1} ') for _ in range(rng.randrange(0, 90))) + rng.choice(["", '{"a":{"b":"}\\"{"}} x {'])
+        want += [(str(log), o) for o in files.objects_in(text)]
+        rows += [(str(log), i // chunk, text[i : i + chunk]) for i in range(0, len(text), chunk)]
+    found = logs.objects_in_chunks(spark.createDataFrame(rows, "log string, chunk long, text string")).orderBy(F.col("log").cast("int"), "chunk", "place")
+    assert [(r.log, r.object) for r in found.collect()] == want
+
+
+def test_summaries_compose():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice('{}"\\x') for _ in range(rng.randrange(6))) for _ in "ab")
+        both = logs.compose(logs.summary(a, 0), logs.summary(b, 1))
+        for mode in (logs.TEXT, logs.QUOTED, logs.ESCAPED):
+            for depth in range(1 if mode else 0, 9):
+                whole = logs.scan(a + b, mode, depth)
+                assert logs.enter(both, (mode, depth, (7, 7)))[:2] == whole[:2]
+
+
+def test_gram_index(spark, tmp_path):
+    index = grams.GramIndex(spark, f"file://{tmp_path}/grams", buckets=32)
+    names = ["OpenAI", "openai labs", "Mistral", "日本語", "a", "", None, "Ab"]
+    index.add(spark.createDataFrame([(n,) for n in names], "key string"))
+    find = lambda n: sorted(r.key for r in index.find(n).collect())
+    assert find("OPEN") == ["OpenAI", "openai labs"] and find("a") == ["Ab", "Mistral", "OpenAI", "a", "openai labs"] and find("本語") == ["日本語"]
+    assert find("enlabs") == [] and find("") == [] and find("zzz") == []
+    # four characters have two pieces, so at most two folders of 32 are read
+    rows, parts = index.postings("open")
+    assert parts == ["ope", "pen"] and len({f.rsplit("/", 1)[0] for f in rows.inputFiles()}) <= 2
+
+
+def test_exact_decimals_and_utf16_order(spark):
+    rng = random.Random(2)
+    values = [1.005, 1.125, 0.0, -1.125, -0.001, 2.675, 1e-9, 0.995, 123456789.125, 1 / 3] + [rng.choice([rng.random() * 10 ** rng.randrange(-3, 9), rng.randrange(1000) / 8, rng.randrange(10**6) / 1000]) for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double").select("x", text.to_fixed(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got[-2:]] == [None, "NaN"] and [r.s for r in got[:2]] == ["1.00", "1.13"]
+    for r in got[:-2]:
+        assert r.s == ("-" if r.x < 0 else "") + str(Decimal(abs(r.x)).quantize(Decimal("0.01"), ROUND_HALF_UP)), r.x
+    words = ["\U0001f600", "", "z", "", None]
+    assert spark.createDataFrame([(words,)], "a array<string>").select(text.utf16_sorted("a")).first()[0] == ["", "z", "\U0001f600", ""]

@@ -118,3 +118,36 @@ def with_scheme(url: Column) -> Column:
 
 def has_cjk(col: Column) -> Column:
     return F.coalesce(col, F.lit("")).rlike(CJK)
+
+
+def to_fixed(col: Column, digits: int = 2) -> Column:
+    """A double with so many decimals (at most 6), rounded by its exact binary value: 1.005 is below the half, 1.125 is on it and goes up.
+
+    The fraction is taken apart into three exact limbs of 26 bits and put together as an integer, so nothing is rounded before the end; bits
+    below 2^-78 aren't looked at. For numbers below 2^53; null stays null, NaN is 'NaN'.
+    """
+    size = F.abs(col)
+    whole = F.floor(size)
+    limb, rest = [], size - whole
+    for _ in range(3):
+        scaled = rest * float(1 << 26)
+        limb.append(F.floor(scaled).cast("decimal(38,0)"))
+        rest = scaled - F.floor(scaled)
+    number = lambda n: F.lit(str(n)).cast("decimal(27,0)")
+    bits = (limb[0].cast("decimal(10,0)") * number(1 << 52).cast("decimal(16,0)") + limb[1].cast("decimal(10,0)") * number(1 << 26).cast("decimal(10,0)") + limb[2].cast("decimal(10,0)")).cast("decimal(26,0)")
+    shares = F.call_function("div", bits * F.lit(2 * 10**digits).cast("decimal(8,0)") + number(1 << 78).cast("decimal(26,0)"), number(1 << 79))
+    units = whole.cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(8,0)") + shares.cast("decimal(20,0)")
+    text = F.lpad(units.cast("decimal(30,0)").cast("string"), F.greatest(F.char_length(units.cast("decimal(30,0)").cast("string")), F.lit(digits + 1)), F.lit("0"))
+    cut = F.char_length(text) - digits
+    shown = F.concat(F.when(col < 0, F.lit("-")).otherwise(F.lit("")), F.substring(text, F.lit(1), cut), F.lit("." if digits else ""), F.substring(text, cut + 1, F.lit(digits)))
+    return F.when(F.isnan(col), F.lit("NaN")).otherwise(shown)
+
+
+def utf16_key(text: Column) -> Column:
+    """Sorts as a text's UTF-16 code units do: characters beyond U+FFFF come before U+E000."""
+    return F.encode(text, "UTF-16BE")
+
+
+def utf16_sorted(texts: Column) -> Column:
+    """An array of texts in the order of their UTF-16 code units, nulls left out."""
+    return F.transform(F.array_sort(F.transform(F.array_compact(texts), lambda t: F.struct(utf16_key(t).alias("k"), t.alias("t")))), lambda x: x["t"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, Scoring
-from ..functions.text import bigrams, folded, title_keywords
+from ..functions.text import bigrams, folded, title_keywords, utf16_sorted
 from ..functions.time import seventh_day_week
 from .components import connected_components
 from .greedy import cluster_in_order
@@ -22,7 +22,7 @@ __all__ = ["cluster", "cluster_fingerprint", "cluster_in_order", "cluster_rows",
 
 def cluster_fingerprint(names: Column, kind: Column, keywords: Column, week: Column) -> Column:
     """Sorted entities, type, sorted keywords and week in one key; null where there are neither entities nor keywords."""
-    key = F.concat_ws("\x00", F.array_join(F.array_sort(names), ","), F.coalesce(kind, F.lit("")), F.array_join(F.array_sort(keywords), ","), F.coalesce(week, F.lit("")))
+    key = F.concat_ws("\x00", F.array_join(utf16_sorted(names), ","), F.coalesce(kind, F.lit("")), F.array_join(utf16_sorted(keywords), ","), F.coalesce(week, F.lit("")))
     return F.when((F.size(names) > 0) | (F.size(keywords) > 0), key)
 
 
@@ -31,7 +31,7 @@ def event_fingerprint(title: Column, published: Column, cfg: Scoring = Scoring()
     low = F.lower(F.coalesce(title, F.lit("")))
     names = entities(low, cfg.entity_tiers)
     words = F.slice(F.filter(title_keywords(title), lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 1)), 1, 3)
-    known = F.when(F.size(names) > 0, F.array_join(F.array_sort(names), "+")).otherwise("unknown")
+    known = F.when(F.size(names) > 0, F.array_join(utf16_sorted(names), "+")).otherwise("unknown")
     return F.concat_ws("|", known, event_type(F.coalesce(title, F.lit("")), cfg), F.array_join(words, ","), seventh_day_week(published))
 
 

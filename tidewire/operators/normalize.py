@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,5 +93,17 @@ def domain_of_source(source: Column, prefixes: dict[str, list[str]], default: st
     return out
 
 
+def domain_paths(domain: Column, kind: Column, domains: dict[str, dict[str, str]], default: str) -> Column:
+    """(base, baseline): the output folders of a domain, those of production unless kind says otherwise. A null domain is the default one; an unknown one is an error.
+
+    domains: name -> production, test, baseline.
+    """
+    name = F.coalesce(domain, F.lit(default))
+    pick = lambda key: reduce(lambda out, d: F.when(name == d, F.lit(domains[d].get(key))).otherwise(out), domains, F.lit(None).cast("string"))
+    base = F.when(F.coalesce(kind, F.lit("production")) == "production", pick("production")).otherwise(pick("test"))
+    known = F.struct(base.alias("base"), pick("baseline").alias("baseline"))
+    return F.when(name.isin(*domains), known).otherwise(F.raise_error(F.concat(F.lit("unknown domain: "), name)))
+
+
 def summary_column(raw: Column) -> Column:
     return clean_summary(raw)
