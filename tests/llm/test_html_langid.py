@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -64,6 +65,39 @@ def plain_covered(streams: list[list[int]], need: int, least: int) -> list[list[
     return out
 
 
+def test_comments_and_class_names():
+    of = lambda page: [t for k, t in H._main_role(page, H.blocks(page)) if k != H.CHROME]
+    short = "<article><p>" + "word " * 10 + "</p></article>"
+    assert of(f'{short}<section id="comments" class="comments">' + "<p>a reader says much</p>" * 30 + "</section>") == [("word " * 10).strip()]
+    halves = of("<article><p>" + "one " * 60 + '</p><div class="promotion-law-history">' + "two " * 60 + "</div></article>")
+    assert halves == [("one " * 60).strip(), ("two " * 60).strip()]
+    for name in ("ad-slot", "comment-list", "cookie-notice", "share-buttons", "widget_recent_entries", "site-footer"):
+        assert of(f'<div>{"text " * 30}</div><div class="{name}">not this</div>') == [("text " * 30).strip()], name
+
+
+def test_scanning_is_linear():
+    began = time.process_time()
+    n = 40_000
+    for page in ('<a "' * n, "<div>" * n + "</b>" * n, "<a " * n, "<a " * n + '"', "<!" * n, "<span class=ad>" * n + "<div>" * n, "<a '\"" * n, '<div class="ad">x' * n):
+        H.blocks(page)
+    assert time.process_time() - began < 20  # a quadratic scan takes minutes for each
+
+
+def test_a_hosts_size_changes_no_text(spark):
+    """Two pages with a common line lose it whatever else the host holds, and however its pages are dealt."""
+    rng = random.Random(5)
+    body = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line = " ".join(f"common{i}" for i in range(12))
+    rows = [("http://h/1", f"<p>{line}</p><p>{body(7)}</p>"), ("http://h/2", f"<p>{line}</p><p>{body(7)}</p>")]
+    rows += [(f"http://h/a{i}", f"<article><p>{line} and more</p><p>{body(40)}</p></article>") for i in range(14)] + [(f"http://h/b{i}", f"<article><p>{body(40)}</p></article>") for i in range(6)]
+    rows += [("http://h/3", rows[0][1]), ("http://h/4", rows[5][1].upper())] + [(f"http://small/{i}", f"<p>{body(9)}</p>") for i in range(3)]
+    df = pages(spark, rows)
+    small = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert len(small[0].split()) == len(small[1].split()) == 7 and all("common" not in small[i] for i in range(2, 16))
+    for size in (200, 700, 3000):
+        assert {r.page_id: r.text for r in H.main_text(df, part_bytes=size).collect()} == small
+
+
 def test_suffix_array_and_cover_against_plain_versions():
     rng = random.Random(8)
     for _ in range(60):
