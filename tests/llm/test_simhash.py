@@ -175,3 +175,26 @@ def test_near_copies_of_odd_rows(spark):
     got = S.near_copies(spark.createDataFrame(data, "doc_id long, text string, node int")).collect()
     assert len(got) == 5 and len({r.component for r in got}) == 2
     assert S.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_in_lanes_against_popcounts():
+    rng = np.random.default_rng(3)
+    for words, radius in ((1, 4), (1, 0), (4, 64)):
+        for n in (0, 1, 63, 64, 65, 1000):
+            a = rng.integers(0, 1 << 63, (n, words), dtype=np.uint64)
+            flips = rng.integers(0, 1 << 63, (n, words), dtype=np.uint64)
+            for _ in range(4):  # few bits, so that distances lie about the radius
+                flips &= rng.integers(0, 1 << 63, (n, words), dtype=np.uint64)
+            flips[::7] = 0
+            assert (S.aligned_within(a, a ^ flips, radius) == (np.bitwise_count(flips).sum(axis=1) <= radius)).all()
+
+
+def test_runs_of_any_size_are_compared_by_planes(monkeypatch):
+    """No branch of the links takes distances another way."""
+    monkeypatch.setattr(S, "_pair_distance", lambda *a: 1 / 0)
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, (300, 1), dtype=np.uint64)
+    fps[1::2] = fps[::2] ^ np.uint64(5)
+    starts, ends = np.array([0, 10, 12, 60]), np.array([10, 12, 60, 300])
+    a, b = S._links_in_runs(fps, np.full(300, 2), starts, ends, 4)
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())} == {(i, i + 1) for i in range(0, 300, 2)}

@@ -128,6 +128,28 @@ def within(queries: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndar
     return q_at[row], w_at[row] * 64 + lane
 
 
+def aligned_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a[i] and b[i] are at most radius bits apart: the pairs of many small runs side by side in the lanes, by the same counters."""
+    p = planes(a ^ b)
+    alive = np.arange(p.shape[1])
+    depth = int(radius + 1).bit_length()
+    start = (1 << depth) - 1 - radius
+    counter = [np.full(len(alive), np.uint64(0xFFFFFFFFFFFFFFFF) if start >> k & 1 else np.uint64(0)) for k in range(depth)]
+    over, out = np.zeros(len(alive), np.uint64), np.full(p.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(p.shape[0]):
+        carry = p[k][alive]
+        for i in range(depth):
+            counter[i], carry = counter[i] ^ carry, counter[i] & carry
+        over |= carry
+        if k % 8 == 7 and len(alive):
+            live = over != np.uint64(0xFFFFFFFFFFFFFFFF)
+            if live.mean() < 0.7:  # abandon blocks of 64 pairs that all exceed the radius
+                alive, over = alive[live], over[live]
+                counter = [c[live] for c in counter]
+    out[alive] = over
+    return np.unpackbits((~out).view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+
+
 def _pair_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of aligned pairs: many pairs side by side, so lanes are pairs."""
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
@@ -147,7 +169,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-#: Runs of up to so many fingerprints are compared pair by pair, side by side with other runs.
+#: Runs of up to so many fingerprints are compared side by side with others: the lanes are their pairs, not the rows of a block.
 SMALL_RUN = 48
 
 
@@ -164,7 +186,7 @@ def _links_in_runs(fps: np.ndarray, side: np.ndarray, starts: np.ndarray, ends:
         step = max(1, 200_000 // len(i))
         for k in range(0, len(at), step):
             x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-            near = _pair_distance(fps[x], fps[y]) <= radius
+            near = aligned_within(fps[x], fps[y], radius)
             out_a.append(x[near])
             out_b.append(y[near])
     for s, e in zip(starts[size > SMALL_RUN].tolist(), ends[size > SMALL_RUN].tolist()):
