@@ -66,6 +66,18 @@ def test_files_round_trip(spark, tmp_path):
         start += len(ids)
 
 
+def test_repeated_ids_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(7, "one"), (7, "two words"), (7, "two words"), (None, "three of them"), (None, None), (None, "a"), (3, "x"), *[(5, f"text {i % 9} " * (i % 4)) for i in range(60)]]
+    seen = set()
+    for k in range(3):
+        rng.shuffle(rows)
+        out = f"file://{tmp_path}/files{k}"
+        V.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(k + 1), P.path("word_bpe_49k.json"), out, shard_tokens=50)
+        seen.add(tuple(sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in V.read_shards(spark, out).collect())))
+    assert len(seen) == 1 and len(next(iter(seen))) == len(rows)
+
+
 def test_empty_files(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     V.write_shards(df, P.path("word_bpe_49k.json"), f"file://{tmp_path}/none")

@@ -259,8 +259,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = END, sha
     """Encode every whole text and write the shards to the table at path, in ascending doc_id order.
 
     One row is one shard: part and seq (its order), before (tokens before it in its part), n_tokens, payload (the
-    file). A null text is empty and holds the end id only. A null doc_id sorts first. Equal doc_ids stand side by
-    side. An empty table gives a table without rows. Texts are dealt out by ranges of doc_id, whatever source they have.
+    file). A null text is empty and holds the end id only. A null doc_id sorts first. Rows of one doc_id, or without any, are in order of their text's hash and then the text, so
+    reruns agree however the rows are dealt out; rows equal in both are interchangeable. An empty table gives a table without rows. Texts are dealt out by ranges of
+    (doc_id, hash, place in the input), so neither a repeated doc_id nor a repeated text fills one task.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -290,7 +291,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end: int = END, sha
             yield shard()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
-    ordered = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    texts = texts.withColumns({"tie": F.xxhash64("body"), "turn": F.monotonically_increasing_id()})
+    ordered = texts.repartitionByRange(n, "doc_id", "tie", "turn").sortWithinPartitions("doc_id", "tie", "body").select("doc_id", "body")
     rows = ordered.mapInArrow(build, "part int, seq int, before long, n_tokens long, payload binary")
     rows.write.option("compression", "uncompressed").parquet(path)
 
