@@ -526,13 +526,14 @@ def whole_host(rows: DataFrame, least: int = LEAST) -> DataFrame:
     once = rows.where("not mirror").select("host", "row", "kinds", "body")
     kinds = "host string, row long, window long"
     counted = once.join(wanted, "host").mapInArrow(windows(True), kinds).groupBy("host", "window").agg(F.count("*").alias("pages"))
-    often = counted.join(hosts.select("host", "need"), "host").where("pages >= need").groupBy("host").agg(F.collect_list("window").alias("often"))
+    # tables, so that Spark broadcasts them where they are small, and the pages needn't meet by host again
+    often = staged(counted.join(hosts.select("host", "need"), "host").where("pages >= need").groupBy("host").agg(F.collect_list("window").alias("often")), "often")
     with_open = rows.join(hosts.where("open").select("host"), "host", "left_semi").select("host", "row", "kinds", "body", "mirror")
     every = with_open.select("host", "row", "kinds", "body", F.lit(None).cast("array<long>").alias("only")).mapInArrow(windows(False), kinds)
     # a mirror has the windows of its page, which is the one that counts
     every = every.join(with_open.select("row", "mirror"), "row")
     twice = every.where("not mirror").groupBy("host", "window").agg(F.count("*").alias("pages")).where(F.col("pages") >= OPEN_PAGES).select("host", "window")
-    shared = every.select("host", "row", "window").join(twice, ["host", "window"]).groupBy("row").agg(F.collect_list("window").alias("shared"))
+    shared = staged(every.select("host", "row", "window").join(twice, ["host", "window"]).groupBy("row").agg(F.collect_list("window").alias("shared")), "shared")
     judged = rows.select("row", "page_id", "url", "host", "kinds", "body").join(often, "host", "left").join(shared, "row", "left").select("page_id", "url", "kinds", "body", "often", "shared")
     kind = rows.schema["page_id"].dataType.simpleString()
 
@@ -541,6 +542,9 @@ def whole_host(rows: DataFrame, least: int = LEAST) -> DataFrame:
         for b in slices(batches, "body"):
             texts = []
             for blocks_of, body, often, shared in zip(*(c.to_pylist() for c in b.columns[2:])):
+                if not often and not shared:  # nothing of the page is repeated
+                    texts.append(body)
+                    continue
                 found = _found(blocks_of, body)
                 tokens = np.array(_stream(found, number.__getitem__), np.int64)
                 own = window_hashes(tokens, least).view(np.int64)
