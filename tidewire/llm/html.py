@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -432,8 +433,17 @@ def _word_hashes() -> Cache:
     return Cache(lambda w: xxhash.xxh64_intdigest(w) >> 1 | 1)
 
 
-def _found(kinds: bytes | None, body: str) -> list[tuple[int, str]]:
-    return list(zip(kinds, body.split("\n"))) if kinds else []
+def _packed(body: str) -> bytes:
+    """A page's blocks as they travel."""
+    return zstandard.compress(body.encode())
+
+
+def _body(packed: bytes) -> str:
+    return zstandard.decompress(packed).decode()
+
+
+def _found(kinds: bytes | None, packed: bytes) -> list[tuple[int, str]]:
+    return list(zip(kinds, _body(packed).split("\n"))) if kinds else []
 
 
 def main_text(pages: DataFrame, least: int = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -449,13 +459,13 @@ def main_text(pages: DataFrame, least: int = LEAST, part_bytes: int = PART_BYTES
     large = staged(large.select("host", F.ceil(F.col("held") / part_bytes).cast("int").alias("parts")), "hosts")
     few = large.count() <= FEW_HOSTS  # small enough to broadcast; beyond that Spark joins by host, and its skew join splits a hot one
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, own long, kinds binary, body string"
+    schema = f"page_id {kind}, url string, host string, own long, kinds binary, body binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
             found = [[x for x in _main_role(t, blocks(t)) if x[0] != CHROME] for t in b.column(3).to_pylist()]
             own = [xxhash.xxh64_intdigest("\n".join(" ".join(t.lower().split()) for _, t in f)) - (1 << 63) for f in found]
-            cols = [*b.columns[:3], pa.array(own, pa.int64()), pa.array([bytes(k for k, _ in f) for f in found], pa.binary()), pa.array(["\n".join(t for _, t in f) for f in found], pa.string())]
+            cols = [*b.columns[:3], pa.array(own, pa.int64()), pa.array([bytes(k for k, _ in f) for f in found], pa.binary()), pa.array([_packed("\n".join(t for _, t in f)) for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "own", "kinds", "body"])
 
     parsed = rows.mapInArrow(parse, schema).join(F.broadcast(large) if few else large, "host", "left")
@@ -475,7 +485,7 @@ def main_text(pages: DataFrame, least: int = LEAST, part_bytes: int = PART_BYTES
                 texts, bodies = [None] * len(held), [r[5] for r in held]
                 common = [some.common().view(np.int64), *[None] * (len(held) - 1)]
             mirror = [i != own for i, own in enumerate(some.own)]
-            cols = [pa.array([r[1] for r in held], arrow), pa.array([r[2] for r in held], pa.string()), pa.array([r[0][0] for r in held], pa.string()), pa.array(mirror), pa.array(common, pa.list_(pa.int64())), pa.array([r[4] for r in held], pa.binary()), pa.array(bodies, pa.string()), pa.array(texts, pa.string())]
+            cols = [pa.array([r[1] for r in held], arrow), pa.array([r[2] for r in held], pa.string()), pa.array([r[0][0] for r in held], pa.string()), pa.array(mirror), pa.array(common, pa.list_(pa.int64())), pa.array([r[4] for r in held], pa.binary()), pa.array(bodies, pa.binary()), pa.array(texts, pa.string())]
             return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "mirror", "common", "kinds", "body", "text"])
 
         for b in batches:
@@ -489,7 +499,7 @@ def main_text(pages: DataFrame, least: int = LEAST, part_bytes: int = PART_BYTES
         if held:
             yield done()
 
-    out = together.mapInArrow(extract, f"page_id {kind}, url string, host string, mirror boolean, common array<long>, kinds binary, body string, text string")
+    out = together.mapInArrow(extract, f"page_id {kind}, url string, host string, mirror boolean, common array<long>, kinds binary, body binary, text string")
     if not large.head(1):
         return out.select("page_id", "url", "text")
     out = staged(out.withColumn("row", F.monotonically_increasing_id()), "pages")
@@ -543,7 +553,7 @@ def whole_host(rows: DataFrame, least: int = LEAST) -> DataFrame:
             texts = []
             for blocks_of, body, often, shared in zip(*(c.to_pylist() for c in b.columns[2:])):
                 if not often and not shared:  # nothing of the page is repeated
-                    texts.append(body)
+                    texts.append(_body(body))
                     continue
                 found = _found(blocks_of, body)
                 tokens = np.array(_stream(found, number.__getitem__), np.int64)
