@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,23 +25,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends here."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
-_released = 0.0
-
-
-def _release(spark: SparkSession, every: float = 2.0) -> None:
-    """Let Spark delete the shuffle files of jobs that are over. It does so once the driver has collected their plans, which a driver with little to do puts off for long."""
-    global _released
-    if time.monotonic() - _released >= every:
-        _released = time.monotonic()
-        spark._jvm.java.lang.System.gc()
-
-
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
