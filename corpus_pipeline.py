@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, langid, mixing, secrets, simhash
-from tidewire.llm.common import SPACE, documents, staged, unstage
+from tidewire.llm.common import SPACE, documents, sieve, staged, unstage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     unstage(groups, first)
     h1, h2 = simhash.text_key("text")
     keyed = docs.withColumns({"__h1": h1, "__h2": h2})
+    may = sieve(aside, "__a")  # most rows have no copy: they stay where they are, only the others go through the join
+    alone, asked = keyed.where(~may(F.col("__h1"))), keyed.where(may(F.col("__h1")))
     same = (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    kept = keyed.join(aside, same, "left_anti")
-    one = keyed.join(aside.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "__h1", "__h2"])
-    return kept.unionByName(one).select(*docs.columns)
+    kept = asked.join(aside, same, "left_anti")
+    one = asked.join(aside.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "__h1", "__h2"])
+    return alone.unionByName(kept).unionByName(one).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import shared_root, staged, unstage
 
-__all__ = ["SPACE", "WORD", "Cache", "documents", "let", "pages", "shared_root", "slices", "staged", "table", "unstage", "utf8"]
+__all__ = ["SPACE", "WORD", "Cache", "documents", "let", "pages", "shared_root", "sieve", "slices", "staged", "table", "unstage", "utf8"]
 
 #: White space of every word rule of this package: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,6 +52,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(at, step)
 
 
+#: Bits of the bitmap that sieve() sends to every task: 8 MB, however many keys there are.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test for long columns: whether a value may be one of keys, a column of hashes. A Bloom filter with one hash.
+
+    It never rejects a key, so a join behind it gives the same rows; what it rejects needn't be shuffled to that join. Beyond
+    some 10**8 keys it lets most values through. Only its bitmap comes to the driver, at most SIEVE_BITS / 64 words.
+    """
+    place = F.pmod(F.col(key), F.lit(SIEVE_BITS))
+    words = keys.where(F.col(key).isNotNull()).select(F.floor(place / 64).alias("at"), (place % 64).cast("int").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bitmap = np.zeros(SIEVE_BITS // 64, np.uint64)
+    bitmap[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may(value: pd.Series) -> pd.Series:
+        at = value.fillna(0).to_numpy(np.int64).view(np.uint64) & np.uint64(SIEVE_BITS - 1)
+        return pd.Series((sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return may
+
+
 class Cache(dict):
     """A memo of make(key) that is emptied when it has most entries, so its memory is bounded."""
 

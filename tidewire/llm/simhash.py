@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import slices, staged, unstage, utf8
+from .common import sieve, slices, staged, unstage, utf8
 
 #: Fingerprints in a tile of a large group.
 TILE = 2048
@@ -512,7 +512,7 @@ def near_copies(docs: DataFrame, least: float = NEAR_LEAST, shingle: int = NEAR_
     tied = staged(connected_components(stars).join(nodes.select("node", "h1", "h2", "one", "fp"), "node"), "tied")
     unstage(keys, stars)
     # one row for each text that has a candidate: the row of its least doc_id
-    chosen = rows.select("doc_id", "h1", "h2", "body").join(tied, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("one")))
+    chosen = rows.select("doc_id", "h1", "h2", "body").where(sieve(tied, "h1")(F.col("h1"))).join(tied, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("one")))
     chosen = staged(chosen.select("node", "component", "fp", "body").dropDuplicates(["node"]), "texts")
     links = verified_links(chosen, shingle, least)
     of = nodes.join(connected_components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
