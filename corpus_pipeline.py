@@ -7,11 +7,11 @@ the shared folder and reads them back for the next one, so a lost executor repea
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, langid, mixing, secrets, simhash
-from tidewire.llm.common import SPACE, documents, sieve, staged, unstage
+from tidewire.llm.common import SPACE, WORD, documents, sieve, staged, unstage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +53,43 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each pass that takes a document, its text cut where the source's target ends.
 
-    A null or empty text has no words and gives no row. Rows equal in doc_id, source and text are one document, taken as often as
-    all of them; their other columns are those of one of them. n_chars, if there, is counted again where a text is cut.
+    A null or empty text has no words and gives no row. Rows equal in doc_id, source and text are taken as often as one document
+    that all of them make; where the target ends among them, their other columns are those of one of them. n_chars, if there, is counted again where a text is cut.
     """
     # the names with underscores can't clash with columns of docs
     h1, h2 = simhash.text_key("text")
     keyed = docs.withColumns({"__h1": h1, "__h2": h2})
-    mixed = mixing.mix(keyed, keep=["__h1", "__h2"]).documents
-    taken = sum((F.sum(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0))
-    key = [F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("__h1").alias("__a"), F.col("__h2").alias("__b")]
-    sizes = mixed.groupBy(*key).agg(F.first("size").alias("__size"), taken.alias("__taken"), F.count("*").alias("__held")).where("__taken > 0")
-    sizes = staged(sizes, "taken")
+    mix = mixing.mix(keyed, keep=["__h1", "__h2"])
+    taken = sum((F.col(f"taken_{t + 1}") for t in range(mixing.PASSES)), F.lit(0))
+    place = mix.bucket_of(F.col("__h1")).alias("__bucket")
+    tally = mix.documents.where("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("__h1").alias("__a"), F.col("__h2").alias("__b"), place, F.col("size").alias("__size"), taken.alias("__taken"))
+    tally = staged(tally, "taken")
+    runs = staged(_runs(tally), "runs")
+    keyed = keyed.withColumn("__bucket", place).where(F.col("text").rlike(WORD))
+    here = lambda of: F.col(of).eqNullSafe(F.col("__run")) & F.col("__bucket").between(F.col("__low"), F.col("__high"))
+    # a bucket whose rows are all taken in whole passes needs no row's own count, so its texts aren't shuffled
+    whole = keyed.join(runs.where("__passes > 0"), here("source")).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    cut = runs.where("__passes is null")
+    return whole.unionByName(_cut(docs, keyed.join(cut, here("source"), "left_semi"), tally.join(cut, here("__from"), "left_semi")))
+
+
+def _runs(tally: DataFrame) -> DataFrame:
+    """__run (a source), __low, __high (buckets), __passes: how often the mix takes every row there, null where rows or words of them differ.
+
+    A source's target ends in one bucket, so it has a few runs, whatever its size.
+    """
+    even = F.when(F.col("__taken") % F.col("__size") == 0, (F.col("__taken") / F.col("__size")).cast("int")).otherwise(-1)
+    per = tally.groupBy(F.col("__from").alias("__run"), "__bucket").agg(F.min(even).alias("least"), F.max(even).alias("most"))
+    per = per.select("__run", "__bucket", F.when((F.col("least") == F.col("most")) & (F.col("least") >= 0), F.col("least")).alias("__passes"))
+    line = Window.partitionBy("__run").orderBy("__bucket")
+    per = per.withColumn("island", F.row_number().over(line) - F.row_number().over(Window.partitionBy("__run", "__passes").orderBy("__bucket")))
+    return per.groupBy("__run", "__passes", "island").agg(F.min("__bucket").alias("__low"), F.max("__bucket").alias("__high")).drop("island")
+
+
+def _cut(docs: DataFrame, keyed: DataFrame, tally: DataFrame) -> DataFrame:
+    """The rows of keyed, each for every pass that takes it, its text cut at what tally says of the row."""
+    sizes = tally.groupBy("__id", "__from", "__a", "__b").agg(F.first("__size").alias("__size"), F.sum("__taken").alias("__taken"), F.count("*").alias("__held")).where("__taken > 0")
+    sizes = staged(sizes, "sizes")
     same = (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from"))
     single, repeated = sizes.where("__held = 1"), sizes.where("__held > 1")
     one = keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "source", "__h1", "__h2"])

@@ -25,10 +25,23 @@ GOLDEN = 0.6180339887498949
 
 @dataclass
 class Mix:
-    """documents: the input's rows with size, source_size, target, taken_1, taken_2 (words in each pass). schedule: slot, source_no, block, first_word, last_word."""
+    """documents: the input's rows with size, source_size, target, taken_1, taken_2 (words in each pass). schedule: slot, source_no, block, first_word, last_word.
+
+    seed and buckets: what bucket_of needs to tell where a row stands in its source's stream, which goes through the buckets in order.
+    """
 
     documents: DataFrame
     schedule: DataFrame
+    seed: int
+    buckets: int
+
+    def bucket_of(self, same: Column) -> Column:
+        """A row's bucket by its doc_id and same, its text's hash."""
+        return F.pmod(_at(self.seed, same), F.lit(self.buckets))
+
+
+def _at(seed: int, same: Column) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", same)
 
 
 def _frac(x: Column) -> Column:
@@ -110,9 +123,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11, keep: list[str] | N
     plan = staged(schedule(sources, n_slots, block), "schedule")
 
     buckets = max(-(-n_docs // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.xxhash64(F.lit(seed), "doc_id", "same")
     known = sized.join(sources.select(F.col("source").alias("s"), "source_no", "source_size", "target", "goal"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    known = known.withColumn("at", at).withColumn("bucket", F.pmod("at", F.lit(buckets)))
+    known = known.withColumn("at", _at(seed, F.col("same"))).withColumn("bucket", F.pmod("at", F.lit(buckets)))
     line = Window.partitionBy("source_no", "bucket").orderBy("at", "doc_id", "size", "same")
     known = known.withColumn("row", F.row_number().over(line)).withColumn("inside", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     known = staged(known, "lines")
@@ -129,7 +141,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11, keep: list[str] | N
     taken = met.groupBy("source_no", "bucket", "row").agg(*[F.sum(F.when(F.col("turn") == t, words).otherwise(0)).alias(f"taken_{t + 1}") for t in range(PASSES)])
     full = known.join(taken, ["source_no", "bucket", "row"], "left")
     full = full.select("doc_id", "source", *[F.col(n).alias(c) for c, n in zip(keep or [], names)], "size", "source_size", "target", *[F.coalesce(f"taken_{t + 1}", F.lit(0)).alias(f"taken_{t + 1}") for t in range(PASSES)])
-    return Mix(full, plan)
+    return Mix(full, plan, seed, buckets)
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:
