@@ -95,3 +95,15 @@ def test_stages_on_odd_tables(spark):
                 assert n == 3
             if name == "secrets" and data:
                 assert n == 4
+
+
+def test_sieve_loses_no_key(spark):
+    """Keys of either sign pass, few others do, nulls and an empty table of keys are no trouble."""
+    rng = random.Random(3)
+    held = [-(2**63), 2**63 - 1, -1, 0, 63, 64, *(rng.randrange(-(2**63), 2**63) for _ in range(500))]
+    others = [rng.randrange(-(2**63), 2**63) for _ in range(2000)]
+    keys = spark.createDataFrame([(k,) for k in [*held, None]], "a long")
+    rows = spark.createDataFrame([(k,) for k in [*held, *others]], "b long")
+    passed = {r.b for r in rows.where(C.sieve(keys, "a")(rows["b"])).collect()}
+    assert set(held) <= passed and len(passed - set(held)) < 20
+    assert rows.where(C.sieve(keys.limit(0), "a")(rows["b"])).count() == 0
