@@ -350,3 +350,21 @@ def test_reports(spark):
     known = events(spark, {"url": "https://known"})
     assert {r.url for r in reports.unknown_urls(reports.render_article(a), known).collect()} == {"https://a/b"}
     assert one(spark, x=reports.substitute(F.lit("{{a}}-{{b}}"), {"a": F.lit("1"), "b": F.lit(None).cast("string")})).x == "1-"
+
+
+@pytest.mark.parametrize("bits", [4096, 8])
+def test_tiles_give_similar_pairs_only(monkeypatch, bits):
+    """Of sets that share most of a small alphabet, and of items beyond those with a bit of their own."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "BITS", bits)
+    rng = random.Random(5)
+    sets = sorted({tuple(sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randrange(8, 22)))) for _ in range(150)}, key=len)
+    table = lambda some: pa.table({"id": list(range(len(some))), "n": [len(x) for x in some], "items": ["\x00".join(x) for x in some]})
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if share(set(x), set(y)) >= 0.7}
+    i, j, likeness = similar._joined(table(sets), table(sets), 0.7, True, False)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted((a, b) for a, b in want if a < b)
+    assert all(s == share(set(sets[a]), set(sets[b])) for a, b, s in zip(i, j, likeness, strict=True))
+    few = [x for x in sets if "a" in x]
+    i, j, _ = similar._joined(table(few), table(sets), 0.7, False, False)
+    assert {(sets.index(few[a]), b) for a, b in zip(i, j, strict=True)} == {(a, b) for a, b in want if "a" in sets[a]}
