@@ -368,3 +368,21 @@ def test_tiles_give_similar_pairs_only(monkeypatch, bits):
     few = [x for x in sets if "a" in x]
     i, j, _ = similar._joined(table(few), table(sets), 0.7, False, False)
     assert {(sets.index(few[a]), b) for a, b in zip(i, j, strict=True)} == {(a, b) for a, b in want if "a" in sets[a]}
+
+
+@pytest.mark.parametrize("longest", [None, 1])
+def test_links_connect_what_pairs_connect(spark, longest):
+    rng = random.Random(6)
+    sets = [sorted(rng.sample("abcdefghijkl", rng.randrange(7, 12))) for _ in range(120)] + [["q", "r"], ["q", "r", "s"], ["z"]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<string>")
+
+    def parts(links):
+        root = list(range(len(sets)))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in links:
+            root[find(a)] = find(b)
+        return [min(y for y in range(len(sets)) if find(y) == find(x)) for x in range(len(sets))]
+
+    want = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and share(set(x), set(y)) >= 0.6]
+    got = [tuple(r) for r in similar.similar_sets(df, "id", "items", 0.6, longest, links=True).collect()]
+    assert parts(got) == parts(want) and (longest is None or len(got) < len(sets) < len(want))
