@@ -349,3 +349,15 @@ def test_exact_decimals_and_utf16_order(spark):
         assert r.s == ("-" if r.x < 0 else "") + str(Decimal(abs(r.x)).quantize(Decimal("0.01"), ROUND_HALF_UP)), r.x
     words = ["\U0001f600", "", "z", "", None]
     assert spark.createDataFrame([(words,)], "a array<string>").select(text.utf16_sorted("a")).first()[0] == ["", "z", "\U0001f600", ""]
+
+
+def test_logs_of_many_short_blocks_take_few_calls(spark):
+    """A state is kept over rows, not a group for each block: 3,000 logs with gaps between their chunks, in pieces that end in escapes."""
+    from tidewire.sources import logs
+
+    plan = logs.objects_in_chunks(spark.createDataFrame([("a", 1, "{")], "log string, chunk long, text string"))._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    text = r'x } " {"k": "a\"}{\\", "n": {"m": 1}} done {"s": "\\"} {"open": '
+    rows = [(f"l{i}", 1000 * k, text[a:b]) for i in range(3000) for k, (a, b) in enumerate([(0, i % len(text)), (i % len(text), len(text))])]
+    got = logs.objects_in_chunks(spark.createDataFrame(rows, "log string, chunk long, text string"))
+    assert {(r.object, r["count"]) for r in got.groupBy("object").count().collect()} == {(r'{"s": "\\"}', 3000), (r'{"k": "a\"}{\\", "n": {"m": 1}}', 3000)}

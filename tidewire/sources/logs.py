@@ -2,20 +2,24 @@
 
 What a chunk does depends on how it is entered: outside a string, in one or after a backslash, and how deep. A chunk is one scan for each way
 of entry, which gives the depth it ends at; entries so deep that the chunk can't close them behave alike. Such summaries compose, so blocks of chunks
-are summed up first, then blocks are run through in order, then each chunk is told how it is entered and cuts its text. An object
-over several chunks is put together from its pieces.
+are summed up first, then blocks are run through in order, then each block is told how it is entered and cuts its chunks. An object
+over several chunks is put together from its pieces. A task runs through its rows in order and keeps a state, so short logs and blocks cost no more than their rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of a block, whose summaries meet in one task.
-BLOCK = 1024
+#: Chunk numbers of a block, which one task runs through.
+BLOCK = 64
+#: All that changes a state.
+_MARK = re.compile(r'[{}"\\]')
 TEXT, QUOTED, ESCAPED = 0, 1, 2
 #: (mode, depth, begun): begun is (chunk, place) of the object that is open, or None.
 Entry = tuple[int, int, tuple[int, int] | None]
@@ -28,13 +32,21 @@ def scan(text: str, mode: int, depth: int) -> tuple[int, int, int | None, int, l
     A cut is (start, end), start -1 for an object that was open on entry.
     """
     start, least, cuts = (-1 if depth else None), depth, []
-    for i, c in enumerate(text):
-        if mode == ESCAPED:
-            mode = QUOTED
-        elif mode == QUOTED:
-            mode = ESCAPED if c == "\\" else TEXT if c == '"' else QUOTED
-        elif c == '"' and depth:
-            mode = QUOTED
+    past = 0
+    if mode == ESCAPED and text:
+        mode, past = QUOTED, 1
+    for found in _MARK.finditer(text):
+        i = found.start()
+        if i < past:
+            continue
+        c = text[i]
+        if mode == QUOTED:
+            if c == '"':
+                mode = TEXT
+            elif c == "\\":
+                past = i + 2
+        elif c == '"':
+            mode = QUOTED if depth else TEXT
         elif c == "{":
             if not depth:
                 start = i
@@ -45,6 +57,8 @@ def scan(text: str, mode: int, depth: int) -> tuple[int, int, int | None, int, l
             if not depth:
                 cuts.append((start, i + 1))
                 start = None
+    if past > len(text):
+        mode = ESCAPED
     return mode, depth, start, least, cuts
 
 
@@ -96,57 +110,57 @@ def objects_in_chunks(chunks: DataFrame) -> DataFrame:
     chunk and place tell where an object begins. Chunks of a log are in order of chunk, whose numbers may have gaps; null texts are empty. An object itself
     fits into a task, a log needn't.
     """
-    import json
-
     rows = chunks.select(F.col("log").cast("string").alias("log"), "chunk", F.coalesce("text", F.lit("")).alias("text")).where("log is not null").withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("long"))
     load = lambda s: {int(k): v for k, v in json.loads(s).items()}
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, whole = None, None
         for pdf in batches:
-            made = [json.dumps(summary(t, int(c))) for t, c in zip(pdf["text"], pdf["chunk"], strict=True)]
-            yield pdf[["log", "block", "chunk"]].assign(made=made)
-
-    sums = rows.mapInPandas(summed, "log string, block long, chunk long, made string")
-
-    def united(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        whole = None
-        for made in pdf["made"]:
-            whole = load(made) if whole is None else compose(whole, load(made))
-        return pd.DataFrame([(pdf["log"].iloc[0], int(pdf["block"].iloc[0]), json.dumps(whole))], columns=["log", "block", "made"])
-
-    def entered(pdf: pd.DataFrame, key: str, state: Entry) -> list[tuple]:
-        out = []
-        for of, made in pdf.sort_values(key)[[key, "made"]].itertuples(index=False):
-            out.append((of, *state[:2], *(state[2] or (-1, -1))))
-            state = enter(load(made), state)
-        return out
-
-    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = entered(pdf, "block", OUTSIDE)
-        return pd.DataFrame([(pdf["log"].iloc[0], *r) for r in found], columns=["log", "block", "mode", "depth", "from_chunk", "from_place"])
-
-    entry = "mode int, depth long, from_chunk long, from_place long"
-    of_blocks = sums.groupBy("log", "block").applyInPandas(united, "log string, block long, made string").groupBy("log").applyInPandas(blocks, f"log string, block long, {entry}")
-
-    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, d, c, p = (int(pdf[x].iloc[0]) for x in ("mode", "depth", "from_chunk", "from_place"))
-        found = entered(pdf, "chunk", (m, d, (c, p) if c >= 0 else None))
-        return pd.DataFrame([(pdf["log"].iloc[0], *r) for r in found], columns=["log", "chunk", "mode", "depth", "from_chunk", "from_place"])
-
-    of_chunks = sums.join(of_blocks, ["log", "block"]).groupBy("log", "block").applyInPandas(inner, f"log string, chunk long, {entry}")
+            out = []
+            for log, block, chunk, text in pdf[["log", "block", "chunk", "text"]].itertuples(index=False):
+                if (log, block) != at:
+                    if at is not None:
+                        out.append((*at, json.dumps(whole)))
+                    at, whole = (log, block), None
+                one = summary(text, int(chunk))
+                whole = one if whole is None else compose(whole, one)
+            yield pd.DataFrame(out, columns=["log", "block", "made"])
+        if at is not None:
+            yield pd.DataFrame([(*at, json.dumps(whole))], columns=["log", "block", "made"])
+
+    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, OUTSIDE
+        for pdf in batches:
+            out = []
+            for log, block, made in pdf[["log", "block", "made"]].itertuples(index=False):
+                if log != at:
+                    at, state = log, OUTSIDE
+                out.append((log, block, *state[:2], *(state[2] or (-1, -1))))
+                state = enter(load(made), state)
+            yield pd.DataFrame(out, columns=["log", "block", "mode", "depth", "from_chunk", "from_place"])
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, OUTSIDE
         for pdf in batches:
             out = []
-            for log, chunk, text, mode, depth, c, p in pdf[["log", "chunk", "text", "mode", "depth", "from_chunk", "from_place"]].itertuples(index=False):
-                _, _, start, _, cuts = scan(text, int(mode), int(depth))
+            for log, block, chunk, text, *entry in pdf[["log", "block", "chunk", "text", "mode", "depth", "from_chunk", "from_place"]].itertuples(index=False):
+                if (log, block) != at:
+                    m, d, c, p = (int(x) for x in entry)
+                    at, state = (log, block), (m, d, (c, p) if c >= 0 else None)
+                chunk, begun = int(chunk), state[2]
+                mode, depth, start, _, cuts = scan(text, *state[:2])
                 for a, b in cuts:
-                    out.append((log, int(c), int(p), int(chunk), text[:b], True) if a < 0 else (log, int(chunk), a, int(chunk), text[a:b], True))
+                    out.append((log, *begun, chunk, text[:b], True) if a < 0 else (log, chunk, a, chunk, text[a:b], True))
                 if start is not None:
-                    out.append((log, int(c), int(p), int(chunk), text, False) if start < 0 else (log, int(chunk), start, int(chunk), text[start:], False))
+                    begun = begun if start < 0 else (chunk, start)
+                    out.append((log, *begun, chunk, text[max(start, 0) :], False))
+                state = mode, depth, begun if depth else None
             yield pd.DataFrame(out, columns=["log", "chunk", "place", "of", "piece", "closed"])
 
-    cut = rows.join(of_chunks, ["log", "chunk"]).mapInPandas(pieces, "log string, chunk long, place long, of long, piece string, closed boolean")
+    dealt = rows.repartition("log", "block").sortWithinPartitions("log", "block", "chunk")
+    sums = dealt.mapInPandas(united, "log string, block long, made string")
+    entries = sums.repartition("log").sortWithinPartitions("log", "block").mapInPandas(entered, "log string, block long, mode int, depth long, from_chunk long, from_place long")
+    told = rows.join(entries, ["log", "block"]).repartition("log", "block").sortWithinPartitions("log", "block", "chunk")
+    cut = told.mapInPandas(pieces, "log string, chunk long, place long, of long, piece string, closed boolean")
     whole = cut.groupBy("log", "chunk", "place").agg(F.max("closed").alias("closed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("of", "piece"))), lambda x: x["piece"]), "").alias("object"))
     return whole.where("closed").drop("closed")
