@@ -361,3 +361,8 @@ def test_logs_of_many_short_blocks_take_few_calls(spark):
     rows = [(f"l{i}", 1000 * k, text[a:b]) for i in range(3000) for k, (a, b) in enumerate([(0, i % len(text)), (i % len(text), len(text))])]
     got = logs.objects_in_chunks(spark.createDataFrame(rows, "log string, chunk long, text string"))
     assert {(r.object, r["count"]) for r in got.groupBy("object").count().collect()} == {(r'{"s": "\\"}', 3000), (r'{"k": "a\"}{\\", "n": {"m": 1}}', 3000)}
+
+
+def test_fixed_keeps_the_sign_of_zero(spark):
+    got = spark.createDataFrame([(0.0,), (-0.0,), (-0.001,), (-1.125,), (None,)], "x double").select(text.to_fixed(F.col("x"), signed_zero=True).alias("s"), text.to_fixed(F.col("x")).alias("p")).collect()
+    assert [r.s for r in got] == ["0.00", "-0.00", "-0.00", "-1.13", None] and got[1].p == "0.00"

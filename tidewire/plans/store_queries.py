@@ -264,7 +264,8 @@ _FIXED = "printf('%.2f', CASE WHEN abs({0}) * 8 = floor(abs({0}) * 8) AND CAST(f
 @query("q_to_fixed", "SELECT event_id, {} AS third, {} AS eighth, {} AS below FROM events".format(*[_FIXED.format(x) for x in ("(value / 3)", "(floor(value) / 8)", "(-value / 1000)")]))
 def to_fixed(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", text.to_fixed(F.col("value") / 3).alias("third"), text.to_fixed(F.floor("value").cast("double") / 8).alias("eighth"), text.to_fixed(-F.col("value") / 1000).alias("below"))
+    fixed = lambda x: text.to_fixed(x, signed_zero=True)
+    return e.select("event_id", fixed(F.col("value") / 3).alias("third"), fixed(F.floor("value").cast("double") / 8).alias("eighth"), fixed(-F.col("value") / 1000).alias("below"))
 
 
 #: Below U+E000 a text's code points and code units agree in order; the test texts stay below, and two marks beyond are put to each word.
