@@ -45,3 +45,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["q_entity_counts", "q_entity_bridge"])
+def test_texts_are_cleaned_once_for_all_terms(spark, name):
+    """Three expressions clean a summary; a plan has it in the result and in two conditions that Spark derives, not once for each term."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_replace") <= 9
