@@ -52,3 +52,9 @@ def test_texts_are_cleaned_once_for_all_terms(spark, name):
     """Three expressions clean a summary; a plan has it in the result and in two conditions that Spark derives, not once for each term."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_replace") <= 9
+
+
+def test_snapshots_score_texts_once(spark):
+    from tidewire.plans.tables import snapshots
+
+    assert "regexp_replace" not in snapshots(spark, SF)._jdf.queryExecution().optimizedPlan().toString()

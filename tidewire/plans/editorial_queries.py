@@ -8,7 +8,7 @@ from ..config import Editorial
 from ..operators import candidates, filters, judgment, memory, signals
 from ..staging import staged
 from ..streaming import breaker
-from .tables import CFG, DAY, EVENTS, NEWS, SNAPSHOTS, STORIES, TIERS, as_of, day, events_of, query, snapshots, sql_list, stories, table
+from .tables import CFG, DAY, EVENTS, NEWS, NOTED, SNAPSHOTS, STORIES, TIERS, as_of, day, events_of, query, snapshots, sql_list, stories, table
 
 _TOP = sql_list(TIERS[0].entities)
 
@@ -40,7 +40,8 @@ _MEMORY = f"""{_RECENT}, x AS (SELECT id, e AS entity, pos, days FROM (SELECT id
 
 @query("q_memory_notes", f"WITH {SNAPSHOTS}, {_MEMORY} SELECT id AS event_id, entity, recent_days FROM mem")
 def memory_notes(spark, sf):
-    return signals.memory(events_of(spark, sf), snapshots(spark, sf), day(), NEWS).select("event_id", "entity", "recent_days")
+    e = staged(events_of(spark, sf).select(*NOTED), "events")
+    return signals.memory(e, snapshots(spark, sf, e), day(), NEWS).select("event_id", "entity", "recent_days")
 
 
 @query("q_coverage_count", f"WITH {SNAPSHOTS} SELECT e.id, count(DISTINCT s.date) AS snapshots FROM events_v e LEFT JOIN snaps s USING (id) GROUP BY e.id")
