@@ -386,3 +386,13 @@ def test_links_connect_what_pairs_connect(spark, longest):
     want = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and share(set(x), set(y)) >= 0.6]
     got = [tuple(r) for r in similar.similar_sets(df, "id", "items", 0.6, longest, links=True).collect()]
     assert parts(got) == parts(want) and (longest is None or len(got) < len(sets) < len(want))
+
+
+def test_spans_that_no_event_finds_first_are_left_out(spark):
+    """Before anything is matched every event leads: of those with equal entities only the first can be found."""
+    from tidewire.operators import greedy
+
+    rows = spark.createDataFrame([("w", i, "a") for i in range(50)] + [("w", 50, "b")], "block string, at long, kind string").withColumn("leader", F.col("at"))
+    kinds = spark.createDataFrame([("w", "a", ["a"]), ("w", "b", ["b"])], "block string, kind string, names array<string>")
+    every = greedy.versions(rows, kinds)
+    assert every.count() == 51 and {(r.leader, *r.held) for r in greedy._first_ones(every, "block", "held").collect()} == {(0, "a"), (50, "b")}

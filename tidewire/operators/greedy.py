@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, folded
@@ -32,14 +32,19 @@ def cluster_in_order(events: DataFrame, block: str = "week", entity_share: float
     ).withColumn("pairs", F.array_sort("pairs"))
     titles = rows.where("size(pairs) > 0").groupBy("pairs").agg(F.min("at.id").alias("title"))
     titles = staged(titles, "titles")
-    alike = similar_sets(titles, "title", "pairs", title_share).select(F.col("a").alias("title"), F.col("b").alias("other"))
-    alike = staged(alike.union(alike.select("other", "title")).union(titles.select("title", F.col("title").alias("other"))), "alike")
+    alike = similar_sets(titles, "title", "pairs", title_share)
     rows = rows.join(titles, "pairs", "left").withColumn("kind", F.when(F.size("names") > 0, F.array_join("names", "\x1f")))
-    now = staged(rows.select("block", "at", "names", "kind", "title", "print", F.col("at").alias("leader")), "guess")
-    unstage(titles)
+    rows = staged(rows.select("block", "at", "names", "kind", "title", "print"), "rows")
+    kinds = staged(rows.where("kind is not null").select("block", "kind", "names").distinct(), "kinds")
+    alike = staged(_in_blocks(rows, alike), "alike")
+    # a title that no other event of its block has or is near decides nothing
+    met = alike.select("block", "title").distinct().withColumn("met", F.lit(True))
+    now = rows.join(met, ["block", "title"], "left").select("block", "at", "kind", F.when(F.col("met"), F.col("title")).alias("title"), "print", F.col("at").alias("leader"))
+    now = staged(now, "guess")
+    unstage(titles, rows)
     settled: list[DataFrame] = []
     for _ in range(most_rounds):
-        after = staged(_matched(now, alike, entity_share), "guess")
+        after = _matched(now, kinds, alike, entity_share)
         open_blocks = staged(after.where("leader <> was").select("block").distinct(), "open")
         if not open_blocks.head(1):
             settled.append(after.select("at", "leader"))
@@ -51,30 +56,55 @@ def cluster_in_order(events: DataFrame, block: str = "week", entity_share: float
         now = left
     else:
         raise RuntimeError("clusters did not settle")
-    unstage(alike)
+    unstage(alike, kinds)
     return reduce(DataFrame.unionAll, settled).select(F.col("at.id").alias("id"), F.col("leader.id").alias("cluster_id"))
 
 
-def versions(rows: DataFrame) -> DataFrame:
-    """(block, leader, since, until, n, name): the entities of each cluster from just after since up to until, each time that they grew."""
-    first = rows.select("block", "leader", "at", F.explode("names").alias("name")).groupBy("block", "leader", "name").agg(F.min("at").alias("since"))
+def _in_blocks(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """(block, title, other): titles of a block that are alike, and with themselves those of several events."""
+    used = rows.where("title is not null").groupBy("block", "title").agg(F.count("*").alias("held"))
+    both = alike.select(F.col("a").alias("title"), F.col("b").alias("other")).union(alike.select("b", "a"))
+    met = both.join(used.select("block", "title"), "title").join(used.select("block", F.col("title").alias("other")), ["block", "other"])
+    return met.select("block", "title", "other").union(used.where("held > 1").select("block", "title", "title"))
+
+
+def versions(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(block, leader, since, until, held): the entities of each cluster from just after since up to until, each time that they grew."""
+    came = rows.where("kind is not null").groupBy("block", "leader", "kind").agg(F.min("at").alias("since")).join(kinds, ["block", "kind"])
+    first = came.select("block", "leader", "since", F.explode("names").alias("name")).groupBy("block", "leader", "name").agg(F.min("since").alias("since"))
     grown = first.groupBy("block", "leader").agg(F.array_sort(F.collect_list(F.struct("since", "name"))).alias("came"))
     each = F.transform(F.sequence(F.lit(1), F.size("came")), lambda k: F.struct(F.element_at("came", k)["since"].alias("since"), F.try_element_at("came", k + 1)["since"].alias("until"), k.alias("n")))
     grown = grown.withColumn("v", F.explode(F.filter(each, lambda v: v["until"].isNull() | (v["until"] > v["since"]))))
-    return grown.select("block", "leader", "v.*", F.explode(F.slice("came", F.lit(1), F.col("v.n"))["name"]).alias("name"))
+    return grown.select("block", "leader", "v.since", "v.until", F.array_sort(F.slice("came", F.lit(1), F.col("v.n"))["name"]).alias("held"))
+
+
+def _first_ones(spans: DataFrame, *keys: str) -> DataFrame:
+    """spans without those that begin no earlier than a lasting one of an earlier leader: no event finds them first."""
+    lasting = spans.where("until is null").groupBy(*keys).agg(F.min(F.struct("leader", "since")).alias("lasting"))
+    return spans.join(lasting, [*keys], "left").where("lasting is null or leader <= lasting.leader or since < lasting.since").drop("lasting")
 
 
-def _matched(rows: DataFrame, alike: DataFrame, share: float) -> DataFrame:
-    """rows with the leader that they have by the guess, and the guess as was."""
+def _matched(rows: DataFrame, kinds: DataFrame, alike: DataFrame, share: float) -> DataFrame:
+    """rows with the leader that they have by the guess, and the guess as was, staged."""
     leaders = rows.where("leader = at").select("block", "at", "title", "print")
-    by_title = leaders.where("title is not null").groupBy("block", F.col("title").alias("other")).agg(F.min("at").alias("m")).join(alike, "other").groupBy("block", "title").agg(F.min("m").alias("by_title"))
-    by_print = leaders.where("print is not null").groupBy("block", "print").agg(F.min("at").alias("by_print"))
-    kinds = rows.where("kind is not null").select("block", "kind", "names").distinct().select("block", "kind", F.size("names").alias("size"), F.explode("names").alias("name"))
-    common = kinds.join(versions(rows), ["block", "name"]).groupBy("block", "kind", "leader", "since", "until", "size", "n").agg(F.count("*").alias("both"))
-    spans = common.where(F.col("both") >= share * (F.col("size") + F.col("n") - F.col("both"))).select("block", "kind", F.col("leader").alias("found"), "since", "until")
+    by_title = leaders.where("title is not null").groupBy("block", F.col("title").alias("other")).agg(F.min("at").alias("m")).join(alike, ["block", "other"]).groupBy("block", "title").agg(F.min("m").alias("m"))
+    by_print = leaders.where("print is not null").groupBy("block", "print").agg(F.min("at").alias("m"))
+    # clusters with the same entities are one set when sets are compared
+    every = staged(versions(rows, kinds), "versions")
+    held = staged(_first_ones(every, "block", "held"), "versions")
+    sets = held.select("block", "held").distinct().select("block", "held", F.size("held").alias("n"), F.explode("held").alias("name"))
+    mine = kinds.select("block", "kind", F.size("names").alias("size"), F.explode("names").alias("name"))
+    common = mine.join(sets, ["block", "name"]).groupBy("block", "kind", "held", "size", "n").agg(F.count("*").alias("both"))
+    fit = common.where(F.col("both") >= share * (F.col("size") + F.col("n") - F.col("both"))).select("block", "kind", "held")
+    near = staged(held.join(fit, ["block", "held"]).select("block", "kind", "leader", "since", "until"), "spans")
+    kept = staged(_first_ones(near, "block", "kind"), "spans")
+    spans = kept.withColumnRenamed("leader", "m")
     valid = (F.col("at") > F.col("since")) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))
-    by_names = rows.select("block", "kind", "at").join(spans, ["block", "kind"]).where(valid).groupBy("block", "at").agg(F.min("found").alias("by_names"))
-    earlier = lambda c: F.when(F.col(c) < F.col("at"), F.col(c))
-    out = rows.withColumnRenamed("leader", "was").join(by_names, ["block", "at"], "left").join(by_title, ["block", "title"], "left").join(by_print, ["block", "print"], "left")
-    found: Column = F.least(F.col("by_names"), earlier("by_title"), earlier("by_print"))
-    return out.select("block", "at", "names", "kind", "title", "print", F.coalesce(found, F.col("at")).alias("leader"), "was")
+    by_names = rows.where("kind is not null").select("block", "kind", "at").join(spans, ["block", "kind"]).where(valid)
+    found = by_names.select("block", "at", "m")
+    for key, first in (("title", by_title), ("print", by_print)):
+        found = found.union(rows.where(F.col(key).isNotNull()).select("block", key, "at").join(first, ["block", key]).where("m < at").select("block", "at", "m"))
+    out = rows.withColumnRenamed("leader", "was").join(found.groupBy("block", "at").agg(F.min("m").alias("m")), ["block", "at"], "left")
+    out = staged(out.select("block", "at", "kind", "title", "print", F.coalesce("m", "at").alias("leader"), "was"), "guess")
+    unstage(every, held, near, kept)
+    return out
