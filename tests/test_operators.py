@@ -448,3 +448,24 @@ def test_spans_that_no_event_finds_first_are_left_out(spark):
     kinds = spark.createDataFrame([("w", "a", ["a"]), ("w", "b", ["b"])], "block string, kind string, names array<string>")
     every = greedy.versions(rows, kinds)
     assert every.count() == 51 and {(r.leader, *r.held) for r in greedy._first_ones(every, "block", "held").collect()} == {(0, "a"), (50, "b")}
+
+
+def test_first_match_in_order_over_pieces(spark, monkeypatch):
+    """Pieces of a block go one after another: what earlier ones founded and widened is met by title, fingerprint and entities."""
+    from tidewire.operators import greedy
+
+    monkeypatch.setattr(greedy, "PIECE", 16)
+    rows = story_rows(7, 100)
+    got = cluster.cluster_in_order(spark.createDataFrame(rows, EVENTS_IN_ORDER))
+    assert {r.id: r.cluster_id for r in got.collect()} == plain_in_order(rows)
+
+
+def test_decisions_that_overturn_each_other_take_no_rounds(spark, monkeypatch):
+    """Each title is like the last one only, so every second event leads; by rounds of guesses each decision waited for the one before."""
+    from tidewire.operators import greedy
+
+    made, real = [], greedy.staged
+    monkeypatch.setattr(greedy, "staged", lambda df, name, *by: made.append(name) or real(df, name, *by))
+    rows = [(k, k, "".join(chr(0x4E00 + 2 * k + j) for j in range(20)), [], None, "w") for k in range(30)]
+    got = {r.id: r.cluster_id for r in cluster.cluster_in_order(spark.createDataFrame(rows, EVENTS_IN_ORDER)).collect()}
+    assert got == plain_in_order(rows) == {k: k - k % 2 for k in range(30)} and len(made) < 10
