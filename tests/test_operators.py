@@ -469,3 +469,31 @@ def test_decisions_that_overturn_each_other_take_no_rounds(spark, monkeypatch):
     rows = [(k, k, "".join(chr(0x4E00 + 2 * k + j) for j in range(20)), [], None, "w") for k in range(30)]
     got = {r.id: r.cluster_id for r in cluster.cluster_in_order(spark.createDataFrame(rows, EVENTS_IN_ORDER)).collect()}
     assert got == plain_in_order(rows) == {k: k - k % 2 for k in range(30)} and len(made) < 10
+
+
+@pytest.mark.parametrize("links", [False, True])
+def test_small_alphabets_are_compared_without_lists(spark, monkeypatch, links):
+    """Where nearly all lists are too long no postings are made, and the pairs, or what links connect, are the same."""
+    rng = random.Random(8)
+    sets = [sorted(rng.sample("abcdefghijkl", rng.randrange(4, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<string>")
+    monkeypatch.setattr(similar, "postings", None)
+    got = {(r.a, r.b) for r in similar.similar_sets(df, "id", "items", 0.6, 3, links=links).collect()}
+    first = {}
+    for i, s in enumerate(map(tuple, sets)):
+        first.setdefault(s, i)
+    want = {(i, j) for i in first.values() for j in first.values() if i < j and share(set(sets[i]), set(sets[j])) >= 0.6} | {(first[s], i) for i, s in enumerate(map(tuple, sets)) if first[s] < i}
+    assert len(got) < len(want) if links else got == want
+
+
+def test_lists_and_tiles_meet(spark):
+    """Some sets have long lists only, some short ones, some both."""
+    rng = random.Random(9)
+    sets = [sorted(rng.sample("abcdefgh", rng.randrange(3, 7))) for _ in range(40)] + [[*rng.sample("abcdefgh", 2), *(f"r{rng.randrange(20)}" for _ in range(3))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<string>")
+    got = {(r.a, r.b) for r in similar.similar_sets(df, "id", "items", 0.5, 12).where("similarity < 1").collect()}
+    first = {}
+    for i, s in enumerate(map(frozenset, sets)):
+        first.setdefault(s, i)
+    assert got == {(i, j) for i in first.values() for j in first.values() if i < j and share(set(sets[i]), set(sets[j])) >= 0.5}
+    assert not similar.mostly_long(similar.item_counts(similar.plain_sets(df, "id", "items")), 0.5, 12)
